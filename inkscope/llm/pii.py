@@ -1,0 +1,475 @@
+"""Personal data: fixed patterns, and a character BiLSTM with a CRF on top.
+
+The patterns (``base_spans``) are the floor: emails, IPv4 addresses, payment
+cards, international phone numbers.  A bidirectional LSTM over character classes
+scores every character for nine tags (outside, and begin/inside of four kinds);
+a linear-chain CRF with learned transitions decodes them.  It is trained here, in numpy,
+from labelled spans; ``labelled_examples`` generates a fixed set of them with
+written variants the patterns miss (bracketed at-signs, phones without a plus,
+dotted card groups) among look-alikes that are nobody's data (versions, dates,
+keys, hashes).
+
+A text is covered by overlapping windows on a fixed grid.  Where windows overlap
+their scores are averaged, nearer centres weighing more, and one Viterbi pass
+reconciles each covered stretch as a whole, so a span is never cut at a window's
+edge.  By definition a span of the model holds a digit or an at-sign; windows of
+which no character is within reach of one cannot contribute a span and are not
+computed.  Nothing is cut off: every position of every text is subject to
+this rule.
+
+Model spans that overlap a base span are dropped, base spans always stay.  Null
+texts are empty; positions are code points, ends exclusive.
+"""
+
+from __future__ import annotations
+
+import functools
+import random
+import re
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .common import map_slices, sha256_hex
+
+KINDS = ("email", "ip", "card", "phone")
+TAGS = 1 + 2 * len(KINDS)  # 0 outside, 2k + 1 begin, 2k + 2 inside of kind k
+WINDOW, STRIDE = 96, 48
+Span = tuple[str, int, int]
+
+#: The base patterns of the contract.  Digit runs are entered at
+#: their start and never given back, which finds the same matches in linear time.
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_TRIGGER = re.compile(r"[0-9@]")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + k % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def _digits(text: str) -> str:
+    return "".join(_DIGIT.findall(text))
+
+
+def _emails(text: str) -> Iterable[Span]:
+    free = 0  # end of the last match: the next begins there or later
+    at = text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > free and text[begin - 1] in _LOCAL:
+            begin -= 1
+        if begin < at and (m := _DOMAIN.match(text, at + 1)):
+            yield "email", begin, m.end()
+            free = m.end()
+        else:
+            free = max(free, at + 1)
+        at = text.find("@", at + 1)
+
+
+def _octet(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
+
+
+def base_spans(text: str) -> list[Span]:
+    """Leftmost non-overlapping matches per kind that pass the kind's test."""
+    out = list(_emails(text)) if "@" in text else []
+    if not _DIGIT.search(text):
+        return out
+    out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() >= 16:
+            d = _digits(m[0])
+            if 16 <= len(d) <= 19 and luhn(d):
+                out.append(("card", *m.span()))
+    if "+" in text:
+        out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
+    return out
+
+
+# -- characters ---------------------------------------------------------------
+
+_MARKS = "0123456789@.-_+()[] \n,:;/=\"'<>#|"
+CLASSES = 5 + len(_MARKS)  # lower, upper, other letter, other, padding
+
+
+def _class_table() -> np.ndarray:
+    table = np.full(0x250, 3, np.int32)
+    for c in range(0x250):
+        ch = chr(c)
+        table[c] = 0 if ch.islower() and c < 128 else 1 if ch.isupper() and c < 128 else 2 if ch.isalpha() else 3
+    for k, ch in enumerate(_MARKS):
+        table[ord(ch)] = 5 + k
+    return table
+
+
+_TABLE = _class_table()
+
+
+def classes(text: str) -> np.ndarray:
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _TABLE[np.minimum(code, len(_TABLE) - 1)]
+
+
+# -- network ------------------------------------------------------------------
+
+
+def _sigmoid(x):
+    return 0.5 * np.tanh(0.5 * x) + 0.5
+
+
+class Tagger:
+    """BiLSTM emissions and CRF transitions; all parameters in ``p``."""
+
+    def __init__(self, hidden: int = 16, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        self.h = hidden
+        self.p: dict[str, np.ndarray] = {}
+        for d in "fb":
+            self.p["x" + d] = rng.normal(0, 0.3, (CLASSES, 4 * hidden)).astype(np.float32)
+            self.p["r" + d] = rng.normal(0, 0.25, (hidden, 4 * hidden)).astype(np.float32)
+            self.p["b" + d] = np.repeat(np.array([0, 1, 0, 0], np.float32), hidden)  # in, forget, out, candidate
+        self.p["o"] = rng.normal(0, 0.3, (2 * hidden, TAGS)).astype(np.float32)
+        self.p["ob"] = np.zeros(TAGS, np.float32)
+        self.p["t"] = np.zeros((TAGS, TAGS), np.float32)
+        for a in range(TAGS):
+            for k in range(len(KINDS)):
+                if a not in (2 * k + 1, 2 * k + 2):
+                    self.p["t"][a, 2 * k + 2] = -1e4  # inside only follows its own kind
+
+    def _pass(self, x: np.ndarray, d: str, keep: bool):
+        """One direction over classes [B, T]; h of every step, and what training needs."""
+        n, length = x.shape
+        H = self.h
+        h, c = np.zeros((n, H), np.float32), np.zeros((n, H), np.float32)
+        out = np.empty((length, n, H), np.float32)
+        saved = []
+        table = self.p["x" + d] + self.p["b" + d]
+        for t in range(length) if d == "f" else range(length - 1, -1, -1):
+            z = table[x[:, t]] + h @ self.p["r" + d]
+            g = _sigmoid(z[:, : 3 * H])
+            i, f, o, a = g[:, :H], g[:, H : 2 * H], g[:, 2 * H :], np.tanh(z[:, 3 * H :])
+            before, hb = c, h
+            c = f * c + i * a
+            tc = np.tanh(c)
+            h = o * tc
+            out[t] = h
+            if keep:
+                saved.append((t, i, f, o, a, before, tc, hb))
+        return out, saved
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Scores [B, T, TAGS] of windows of character classes."""
+        hf, _ = self._pass(x, "f", False)
+        hb, _ = self._pass(x, "b", False)
+        return (np.concatenate([hf, hb], 2) @ self.p["o"] + self.p["ob"]).transpose(1, 0, 2)
+
+    def _gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        n, length = x.shape
+        H = self.h
+        (hf, sf), (hb, sb) = self._pass(x, "f", True), self._pass(x, "b", True)
+        h = np.concatenate([hf, hb], 2)
+        e = h @ self.p["o"] + self.p["ob"]
+        T = self.p["t"]
+        eT = np.exp(T)
+        scale = e.max(2, keepdims=True)
+        w = np.exp(e - scale)
+        alpha = np.empty_like(w)
+        beta = np.ones_like(w)
+        z = np.zeros(n)
+        for t in range(length):  # scaled forward and backward sums
+            a = w[0] if t == 0 else (alpha[t - 1] @ eT) * w[t]
+            s = a.sum(1, keepdims=True)
+            alpha[t] = a / s
+            z += np.log(s[:, 0]) + scale[t, :, 0]
+        for t in range(length - 2, -1, -1):
+            b = (w[t + 1] * beta[t + 1]) @ eT.T
+            beta[t] = b / b.sum(1, keepdims=True)
+        gamma = alpha * beta
+        gamma /= gamma.sum(2, keepdims=True)
+        gold = np.zeros_like(gamma)
+        ti, bi = np.meshgrid(np.arange(length), np.arange(n), indexing="ij")
+        gold[ti, bi, y.T] = 1
+        de = (gamma - gold) / n
+        dT = np.zeros_like(T)
+        score = e[ti, bi, y.T].sum(0)
+        for t in range(1, length):
+            m = alpha[t - 1][:, :, None] * eT * (w[t] * beta[t])[:, None, :]
+            m /= m.sum((1, 2), keepdims=True)
+            dT += m.sum(0) / n
+            score += T[y[:, t - 1], y[:, t]]
+            np.subtract.at(dT, (y[:, t - 1], y[:, t]), 1 / n)
+        dT[T < -1e3] = 0
+        g = {"t": dT, "o": np.tensordot(h, de, ([0, 1], [0, 1])), "ob": de.sum((0, 1))}
+        dh = de @ self.p["o"].T
+        for d, saved, part in (("f", sf, dh[:, :, :H]), ("b", sb, dh[:, :, H:])):
+            dx, dr, db = np.zeros_like(self.p["x" + d]), np.zeros_like(self.p["r" + d]), np.zeros_like(self.p["b" + d])
+            hh, cc = np.zeros((n, H), np.float32), np.zeros((n, H), np.float32)
+            for t, i, f, o, a, before, tc, prior in reversed(saved):
+                dht = part[t] + hh
+                dc = cc + dht * o * (1 - tc * tc)
+                dz = np.concatenate([dc * a * i * (1 - i), dc * before * f * (1 - f), dht * tc * o * (1 - o), dc * i * (1 - a * a)], 1)
+                np.add.at(dx, x[:, t], dz)
+                dr += prior.T @ dz
+                db += dz.sum(0)
+                hh, cc = dz @ self.p["r" + d].T, dc * f
+            g |= {"x" + d: dx, "r" + d: dr, "b" + d: db}
+        return float((z - score).mean()), g
+
+    def fit(self, texts: list[str], spans: list[list[Span]], epochs: int = 14, batch: int = 64, rate: float = 0.02, seed: int = 11) -> Tagger:
+        """Adam on the negative log likelihood of the labelled spans."""
+        length = max(map(len, texts))
+        x = np.full((len(texts), length), 4, np.int32)
+        y = np.zeros((len(texts), length), np.int64)
+        for k, (text, found) in enumerate(zip(texts, spans)):
+            x[k, : len(text)] = classes(text)
+            for kind, s, e in found:
+                y[k, s:e] = 2 * KINDS.index(kind) + 2
+                y[k, s] -= 1
+        rng = np.random.default_rng(seed)
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        v = {k: np.zeros_like(u) for k, u in self.p.items()}
+        step, steps = 0, epochs * (-(-len(texts) // batch))
+        for _ in range(epochs):
+            order = rng.permutation(len(texts))
+            for begin in range(0, len(order), batch):
+                rows = order[begin : begin + batch]
+                _, g = self._gradients(x[rows], y[rows])
+                step += 1
+                norm = np.sqrt(sum(float((u * u).sum()) for u in g.values()))
+                lr = rate * (1 - 0.9 * step / steps)
+                for k, u in g.items():
+                    u = u * min(1.0, 5 / (norm + 1e-9))
+                    m[k] = 0.9 * m[k] + 0.1 * u
+                    v[k] = 0.99 * v[k] + 0.01 * u * u
+                    self.p[k] = (self.p[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        return self
+
+    def viterbi(self, e: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """Best tags of stretches [B, T, TAGS] of the given sizes."""
+        n, length, _ = e.shape
+        T = self.p["t"]
+        start = np.array([0] + [0, -1e4] * len(KINDS), np.float32)
+        score = e[:, 0] + start
+        back = np.zeros((length, n, TAGS), np.int8)
+        best = np.zeros((n, TAGS), np.float32)
+        best[sizes == 1] = score[sizes == 1]
+        for t in range(1, length):
+            m = score[:, :, None] + T
+            back[t] = m.argmax(1)
+            score = m.max(1) + e[:, t]
+            best[sizes == t + 1] = score[sizes == t + 1]
+        tags = np.zeros((n, length), np.int8)
+        at = best.argmax(1)
+        rows = np.arange(n)
+        for t in range(length - 1, -1, -1):
+            tags[:, t] = np.where(t < sizes, at, 0)
+            at = np.where((t > 0) & (t < sizes), back[t, rows, at], at)
+        return [tags[k, :s] for k, s in enumerate(sizes)]
+
+
+# -- labelled spans -----------------------------------------------------------
+
+
+def labelled_examples(count: int = 1_600, seed: int = 5, width: int = WINDOW) -> tuple[list[str], list[list[Span]]]:
+    """A fixed set of generated texts with the spans of their personal data."""
+    r = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyzéüñ"
+    word = lambda: "".join(r.choices(letters, k=r.randint(2, 9)))
+    num = lambda n: "".join(r.choices("0123456789", k=n))
+
+    def card() -> str:
+        body = r.choice("3456") + num(14)
+        check = next(str(d) for d in range(10) if luhn(body + str(d)))
+        s = body + check
+        return r.choice(["", "", " ", "-", "."]).join([s[:4], s[4:8], s[8:12], s[12:]])
+
+    def email() -> str:
+        at = r.choice(["@", "@", "@", " @ ", "[@]", "(@)", " [@] "])
+        dot = "." if at == "@" else r.choice([".", ".", " . ", "[.]"])
+        return f"{word()[:6]}{r.choice(['', '.' + num(2), '_' + word()[:3], num(2)])}{at}{word()}{r.choice(['', num(1)])}{dot}{r.choice(['com', 'org', 'example', 'net'])}"
+
+    def ip() -> str:
+        return ".".join(str(r.randint(1, 254)) for _ in range(4))
+
+    def phone() -> str:
+        return r.choice(
+            [f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(7)}", f"00{num(2)} {num(3)} {num(6)}"]
+        )
+
+    def other() -> str:
+        h = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+        return r.choice(
+            [
+                f"version {r.randint(1, 9)}.{r.randint(0, 9)}", f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}", f"{r.randint(1900, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f'token = "{h(40)}"', f"password={h(18)}", "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)),
+                num(r.randint(1, 8)), f"{num(2)}:{num(2)}:{num(2)}", f"CC BY-NC {r.randint(1, 4)}.0", f"{num(1)},{num(3)},{num(3)}", f"@{word()}", h(32), num(r.randint(20, 40)), f"{num(3)}.{num(2)} %", f"({r.randint(1900, 2030)})", f"# {num(3)} | {num(2)} | {num(3)}",
+            ]
+        )
+
+    make = {"email": email, "ip": ip, "card": card, "phone": phone}
+    texts, spans = [], []
+    for _ in range(count):
+        text, found = "", []
+        while len(text) < width - 40:
+            kind = r.choice([None, None, None, "other", *KINDS])
+            piece = " ".join(word() for _ in range(r.randint(1, 4))) if kind is None else other() if kind == "other" else make[kind]()
+            if r.random() < 0.1:
+                piece = piece.capitalize()
+            if text:
+                text += r.choice([" ", " ", " ", "\n", ", ", ": "])
+            if kind in make:
+                found.append((kind, len(text), len(text) + len(piece)))
+            text += piece
+        if len(text) <= width:
+            texts.append(text)
+            spans.append(found)
+    return texts, spans
+
+
+@functools.lru_cache(maxsize=1)
+def default_tagger() -> Tagger:
+    """The tagger fitted to ``labelled_examples``; the same in every run."""
+    return Tagger().fit(*labelled_examples())
+
+
+# -- decoding whole texts -----------------------------------------------------
+
+_WEIGHT = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+
+
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Runs of neighbouring grid windows that hold a trigger: (first, last) window."""
+    out: list[list[int]] = []
+    last = max(0, -(-(len(text) - WINDOW) // STRIDE))
+    for m in _TRIGGER.finditer(text):
+        lo = max(0, (m.start() - WINDOW) // STRIDE + 1)
+        hi = min(last, m.start() // STRIDE)
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [(a, b) for a, b in out]
+
+
+def model_spans(texts: list[str], tagger: Tagger, block: int = 2_048) -> list[list[Span]]:
+    """Spans that the tagger finds in each text, in order, not overlapping."""
+    jobs = [(k, a, b) for k, text in enumerate(texts) if _TRIGGER.search(text) for a, b in _stretches(text)]
+    jobs.sort(key=lambda j: j[2] - j[1])
+    found: list[list[Span]] = [[] for _ in texts]
+    begin = 0
+    while begin < len(jobs):
+        end, windows = begin, 0
+        longest = 2 * (jobs[begin][2] - jobs[begin][1] + 1)
+        while end < len(jobs) and (end == begin or (windows < block and jobs[end][2] - jobs[end][1] + 1 <= longest)):
+            windows += jobs[end][2] - jobs[end][1] + 1
+            end += 1
+        _decode(texts, jobs[begin:end], tagger, block, found)
+        begin = end
+    return [sorted(f, key=lambda s: s[1]) for f in found]
+
+
+def _decode(texts, jobs, tagger, block, found) -> None:
+    spans_of = [(k, a * STRIDE, min(len(texts[k]), b * STRIDE + WINDOW)) for k, a, b in jobs]
+    sizes = np.array([e - s for _, s, e in spans_of])
+    total = np.zeros((len(jobs), int(sizes.max()), TAGS), np.float32)
+    weight = np.zeros((len(jobs), int(sizes.max()), 1), np.float32)
+    where = [(j, w) for j, (_, a, b) in enumerate(jobs) for w in range(a, b + 1)]
+    coded = [classes(texts[k][s:e]) for k, s, e in spans_of]
+    for begin in range(0, len(where), block):
+        part = where[begin : begin + block]
+        x = np.full((len(part), WINDOW), 4, np.int32)
+        for row, (j, w) in enumerate(part):
+            c = coded[j][(w - jobs[j][1]) * STRIDE :][:WINDOW]
+            x[row, : len(c)] = c
+        e = tagger.emissions(x)
+        for row, (j, w) in enumerate(part):
+            at = (w - jobs[j][1]) * STRIDE
+            n = min(WINDOW, int(sizes[j]) - at)
+            total[j, at : at + n] += e[row, :n] * _WEIGHT[:n, None]
+            weight[j, at : at + n, 0] += _WEIGHT[:n]
+    total /= np.maximum(weight, 1e-9)
+    for (k, s, _), tags in zip(spans_of, tagger.viterbi(total, sizes)):
+        for b in np.flatnonzero(tags % 2 == 1).tolist():
+            e = b + 1
+            while e < len(tags) and tags[e] == tags[b] + 1:
+                e += 1
+            kind = KINDS[(int(tags[b]) - 1) // 2]
+            if _plausible(kind, texts[k][s + b : s + e]):
+                found[k].append((kind, s + b, s + e))
+
+
+def _plausible(kind: str, text: str) -> bool:
+    """What the kind demands of its characters, whatever the model thinks."""
+    d = _digits(text)
+    if kind == "email":
+        return "@" in text and "." in text and not text.startswith("@")
+    if kind == "ip":
+        return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text)) and all(map(_octet, text.split(".")))
+    if kind == "card":
+        return 13 <= len(d) <= 19 and len(d) >= len(text) - 6 and luhn(d)
+    return 7 <= len(d) <= 15 and len(d) >= 0.6 * len(text) and bool(re.fullmatch(r"[+0-9 ().-]+", text))
+
+
+def find(texts: list[str | None], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text, by kind as listed, then start."""
+    whole = [t or "" for t in texts]
+    order = {k: i for i, k in enumerate(KINDS)}
+    out = []
+    for text, extra in zip(whole, model_spans(whole, tagger)):
+        base = base_spans(text)
+        taken = sorted((s, e) for _, s, e in base)
+        starts = np.array([s for s, _ in taken])
+        ends = np.maximum.accumulate([e for _, e in taken]) if taken else np.zeros(0, int)
+        more = []
+        for kind, s, e in extra:
+            at = int(np.searchsorted(starts, e)) if taken else 0
+            if not at or ends[at - 1] <= s:
+                more.append((kind, s, e))
+        key = lambda x: (order[x[0]], x[1])
+        out.append((sorted(base, key=key), sorted(base + more, key=key)))
+    return out
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join([f"{k}:{s}:{e}" for k, s, e in spans])
+
+
+def annotate(df: DataFrame, tagger: Tagger | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, spans array of kind, start, end, base) of every row."""
+    shared = df.sparkSession.sparkContext.broadcast(tagger or default_tagger())
+
+    def run(part: pa.RecordBatch) -> dict:
+        found = find(part.column(text).to_pylist(), shared.value)
+        rows = [[{"kind": k, "start": s, "end": e, "base": (k, s, e) in {*b}} for k, s, e in a] for b, a in found]
+        return {key: part.column(key), "spans": rows}
+
+    kind = df.schema[key].dataType.simpleString()
+    return map_slices(df.select(key, text), run, f"{key} {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>", text)
+
+
+def digests(df: DataFrame, tagger: Tagger | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row."""
+    shared = df.sparkSession.sparkContext.broadcast(tagger or default_tagger())
+
+    def run(part: pa.RecordBatch) -> dict:
+        found = find(part.column(text).to_pylist(), shared.value)
+        counts = {f"n_{k}": [sum(s[0] == k for s in b) for b, _ in found] for k in KINDS}
+        return {key: part.column(key)} | counts | {
+            "base_sha256": [sha256_hex(joined(b).encode()) for b, _ in found],
+            "spans": [joined(a) for _, a in found],
+        }
+
+    kind = df.schema[key].dataType.simpleString()
+    ddl = f"{key} {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+    return map_slices(df.select(key, text), run, ddl, text)
