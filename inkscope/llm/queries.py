@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, linededup, mixing, pii, sharding, simhash, webp
+from . import ann, bpe, langid, linededup, mixing, pii, sharding, simhash, substrings, webp
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", linededup.host_of().alias("host"), linededup.visible_lines().alias("text"))
     return linededup.drop_boilerplate(pages, F.col("host")).select(
@@ -57,7 +61,7 @@ def op10_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_simhash, op3_langid, op5_line_dedup, op6_mixing, op7_ann, op8_bpe, op9_sharding, op10_webp)
+    f.__name__: f for f in (op1_pii, op2_simhash, op3_langid, op4_substrings, op5_line_dedup, op6_mixing, op7_ann, op8_bpe, op9_sharding, op10_webp)
 }
 
 ORACLE_SQL: dict[str, str] = {}
