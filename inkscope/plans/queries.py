@@ -266,7 +266,7 @@ def occurrence_identity(spark, sf_dir):
 
 def _baseline(items):
     """A third of the items as accepted, and one entry that nothing matches."""
-    held = identity.baseline_entries(items.where("pmod(crc32(path), 3) = 0"))
+    held = identity.baseline_entries(items.where("path like '%1.%' or path like '%4.%'"))
     gone = items.sparkSession.createDataFrame([("0" * 16, "gone.md", "U+200B")], held.schema)
     return held.unionByName(gone)
 
