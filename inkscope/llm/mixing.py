@@ -20,22 +20,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 #: Weights by the quality label: good, unlabelled, poor.
 QUALITY = (2.0, 1.0, 0.5)
-BUCKET_ROWS = 16_384
+BUCKET_ROWS = 4_096
 
 
-def with_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``df`` with a column ``weight`` from the labels' best quality of its key."""
-    best = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("quality").alias("__quality"))
-    good, none, poor = QUALITY
-    weight = F.when(F.col("__quality") >= 1, good).when(F.col("__quality") < 1, poor).otherwise(none)
-    return df.join(best, key, "left").withColumn("weight", weight).drop("__quality")
+def _quality(labels: DataFrame, key: str) -> DataFrame:
+    """(id, quality) of the labelled keys: the best label of each."""
+    return labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max("quality").alias("quality"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -61,22 +58,28 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 
 def mix(
-    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None,
+    df: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source",
     weights=WEIGHTS, share: float = SHARE, most: int = MOST,
 ) -> DataFrame:
     """(key, size, source_size, target, taken) of every row.
 
-    ``weight`` names a positive column; null weights are 1.
+    ``labels`` (key, quality) gives the quality weights; without it all are 1.
+    Texts are measured before anything is shuffled.
     """
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     rows = df.select(
         F.col(key).alias("id"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col(source).alias("source"),
-        (-F.log(u) / w).alias("draw"),
+        u.alias("u"),
     )
-    buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    w = F.lit(1.0)
+    if labels is not None:
+        good, none, poor = QUALITY
+        w = F.when(F.col("quality") >= 1, good).when(F.col("quality") < 1, poor).otherwise(none)
+        rows = rows.join(_quality(labels, key), "id", "left")
+    rows = cut(rows.select("id", "size", "source", (-F.log("u") / w).alias("draw")))
+    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     rows = rows.withColumn("part", F.least(F.floor((1 - F.exp(-F.col("draw"))) * buckets), F.lit(buckets - 1)).cast("int"))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
     goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
