@@ -28,11 +28,14 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+#: What stands between lines of a page: scripts, styles, comments, tags, line ends.
+BREAK = r"(?is)(?:<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|[\r\n])+"
+
+
 def visible_lines(html: str = "html"):
-    """Text of an HTML column, a line for each run of text between tags."""
-    bare = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), r"(?is)<(?:script|style)\b.*?</(?:script|style)>|<!--.*?-->", "\n")
-    text = F.regexp_replace(bare, r"<[^>]*>", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r]*\n[ \t\r\n]*", "\n"), r"^\n|\n$", ""))
+    """Text of an HTML column: a line for each run of text between tags, trimmed."""
+    lines = F.transform(F.split(F.coalesce(F.col(html), F.lit("")), BREAK), lambda x: F.trim(x))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def boilerplate(rows: DataFrame, ratio: float, least_pages: int) -> DataFrame:

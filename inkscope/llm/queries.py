@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, langid, linededup, mixing, pii, sharding, simhash, substrings, webp
-from .common import table
+from .common import table, written
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", linededup.host_of().alias("host"), linededup.visible_lines().alias("text"))
-    return linededup.drop_boilerplate(pages, F.col("host")).select(
+    return linededup.drop_boilerplate(written(pages), F.col("host")).select(
         "page_id", "host", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256")
     )
 
