@@ -7,13 +7,13 @@ read again as the next stage's documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkscope.llm import bpe, langid, linededup, mixing, simhash
+from inkscope.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words per shingle of the near-duplicate stage.
@@ -52,7 +52,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     than its size is there twice.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    plan = mixing.mix(mixing.with_quality(docs, labels), weight="weight")
+    plan = mixing.mix(docs, labels)
     times = plan.where("taken > 0").select("doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
     copies = docs.join(times, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select(*COLUMNS)
@@ -77,10 +77,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; stage outputs go to the shared folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    base = f"{sc._jsc.sc().getCheckpointDir().get()}/stages-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
