@@ -219,7 +219,7 @@ def clean_text(df: DataFrame, options: Options = Options(), key: str = "doc_id",
     through.  Pieces between findings are cut from one split of the text, so the
     work is linear in its length.
     """
-    hits = verdicts(df.select(key, path, text), options, text, path).where("actionable")
+    hits = verdicts(df.select(*dict.fromkeys((key, path, text))), options, text, path).where("actionable")
     edits = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("offset", "replacement"))).alias("__edits"))
 
     def rebuild(arr):

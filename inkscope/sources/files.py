@@ -17,7 +17,8 @@ def scan_tree(
 ) -> DataFrame:
     """(path, content) of the files a scan of ``root`` keeps; paths relative to it.
 
-    Names and sizes are filtered before any content is looked at.
+    Names and sizes are filtered before any content is looked at.  Spark's file
+    source leaves out empty files, which hold nothing to find.
     """
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(base)
