@@ -126,13 +126,10 @@ class Automaton:
                 node = children[node][s]
             token[node] = t
         self.token = np.array(token, np.int32)
-        inner = [n for n, c in enumerate(children) if c]
-        self.row = np.full(len(children), -1, np.int32)
-        self.row[inner] = np.arange(len(inner))
-        self.next = np.full((len(inner), 512), -1, np.int32)
-        for r, n in enumerate(inner):
-            for s, child in children[n].items():
-                self.next[r, s] = child
+        arcs = [(n, s, child) for n, c in enumerate(children) for s, child in c.items()]
+        node, symbol, child = (np.array(x, np.int64) for x in zip(*arcs))
+        self.next = PairTable(node, symbol, child.astype(np.int32))
+        self.inner = np.array([bool(c) for c in children])
 
     def admits(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether each ``last`` state (-1: start) has an arc ``token``."""
@@ -181,10 +178,10 @@ class Automaton:
         came = np.zeros((len(pieces), width + 1), np.int32)
         for i in range(width):
             at = np.flatnonzero(size > i)
-            row_of = np.zeros(len(at), np.int32)
+            node = np.zeros(len(at), np.int32)
             end = i
             while at.size:
-                node = self.next[row_of, sym[at, end]]
+                node = self.next.find(node, sym[at, end])
                 end += 1
                 live = node >= 0
                 at, node = at[live], node[live]
@@ -195,9 +192,8 @@ class Automaton:
                     ok = self.admits(last[rows, i], token)
                     last[rows[ok], end] = token[ok]
                     came[rows[ok], end] = i
-                row_of = self.row[node]
-                live = (row_of >= 0) & (size[at] > end)
-                at, row_of = at[live], row_of[live]
+                live = self.inner[node] & (size[at] > end)
+                at, node = at[live], node[live]
         out = []
         for k, n in enumerate(size.tolist()):
             ids, end = [], n
@@ -215,7 +211,7 @@ class Codec:
     ``memo`` bounds the words remembered between texts; it changes speed only.
     """
 
-    def __init__(self, path: str, memo: int = 250_000):
+    def __init__(self, path: str, memo: int = 150_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
@@ -231,6 +227,11 @@ class Codec:
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
 
+    def forget(self) -> None:
+        """Drop the remembered words."""
+        self.ids.clear()
+        self.decoded.clear()
+
     def words(self, text: str) -> list[str]:
         """Words of a text without added tokens: normalised, cut at white space."""
         if not text.isascii():
@@ -252,8 +253,7 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         """Encode the words that are not remembered yet."""
         if len(self.ids) > self.memo:
-            self.ids.clear()
-            self.decoded.clear()
+            self.forget()
         new = [w for w in words if w not in self.ids]
         cuts = [[w] if w.isalpha() else PIECES.findall(w) for w in new]
         pieces = list({p for c in cuts for p in c})
@@ -305,7 +305,8 @@ def tokenize(df: DataFrame, path: str | None = None, key: str = "doc_id", text:
         return {key: part.column(key), "n_tokens": [len(i) for i in ids], "ids": ids, "decoded": [d for _, d in done]}
 
     kind = df.schema[key].dataType.simpleString()
-    return map_slices(df.select(key, text), run, f"{key} {kind}, n_tokens bigint, ids array<int>, decoded string", text)
+    ddl = f"{key} {kind}, n_tokens bigint, ids array<int>, decoded string"
+    return map_slices(df.select(key, text), run, ddl, text, lambda: codec(where).forget())
 
 
 def digests(df: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,4 +323,5 @@ def digests(df: DataFrame, path: str | None = None, key: str = "doc_id", text: s
         }
 
     kind = df.schema[key].dataType.simpleString()
-    return map_slices(df.select(key, text), run, f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", text)
+    ddl = f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return map_slices(df.select(key, text), run, ddl, text, lambda: codec(where).forget())

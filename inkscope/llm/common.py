@@ -68,8 +68,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, budget: int = 4 << 20)
         yield batch.slice(begin)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text") -> DataFrame:
-    """``mapInArrow`` over slices of bounded bytes; ``fn`` returns columns."""
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text", end: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` over slices of bounded bytes; ``fn`` returns columns.
+
+    ``end`` is called after a partition, to give memory back to the next stage.
+    """
     names = [f.name for f in _schema(df.sparkSession, schema)]
     types = _arrow(_schema(df.sparkSession, schema))
 
@@ -79,6 +82,8 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c := out[n], pa.Array) else pa.array(c, t) for n, t in zip(names, types)], names
             )
+        if end is not None:
+            end()
 
     return df.mapInArrow(run, schema)
 
