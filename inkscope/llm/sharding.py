@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 16_384
+BUCKET_ROWS = 4_096
 SEED = 20_240
 
 
