@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -68,6 +70,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, budget: int = 4 << 20)
         yield batch.slice(begin)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle workers stay with their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, text: str = "text", end: Callable[[], None] | None = None) -> DataFrame:
     """``mapInArrow`` over slices of bounded bytes; ``fn`` returns columns.
 
@@ -84,6 +95,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str,
             )
         if end is not None:
             end()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
