@@ -14,7 +14,8 @@ a run of them travels as one short string.
 3. The groups send their distinct runs of shared minimizers to shards, each
    with its least document id.  Copies within a group collapse here, so a
    passage on a third of all documents reaches its shard once a group.
-4. A shard sorts the suffixes of its distinct runs and takes the least id of
+4. A shard sorts the suffixes of its distinct runs (of minimizers that more than
+   one distinct run has; a lone run meets no other) and takes the least id of
    every class of equal windows; a run's windows that are held by a smaller id
    than its own least are flagged, one bit each, back to its group.
 5. The group marks the flagged windows, and those whose run an earlier document of
@@ -30,10 +31,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha256_hex
+from .common import give_back, sha256_hex
 from .induced import prefix_classes
 
 LENGTH = 50
@@ -91,7 +93,7 @@ class Runs:
         ends = inside.copy()
         ends[:-1] &= first[1:] | ~inside[1:]
         self.count = np.flatnonzero(ends) - self.start + 1
-        self.key = h[self.start]
+        self.key = h[self.start] >> np.uint64(16)  # 48 bits travel
         self.doc = np.searchsorted(self.begin[fit], self.start, "right") - 1
         self.doc = np.flatnonzero(fit)[self.doc]
 
@@ -148,17 +150,27 @@ _SENT = "shard int, g bigint, lengths binary, least binary, content binary"
 _DONE = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """48-bit keys as their high four and low two bytes."""
+    return (keys >> np.uint64(16)).astype(np.uint32).tobytes() + (keys & np.uint64(0xFFFF)).astype(np.uint16).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(16) | np.frombuffer(data, np.uint16, n, 4 * n)
+
+
 def _report(key, rows: pa.Table, parts: int) -> pa.Table:
     keys, twice = _documents(rows).keys()
-    part = (keys.astype(np.float64) / 2.0**64 * parts).astype(np.int64).clip(0, parts - 1)
+    part = (keys.astype(np.float64) / 2.0**48 * parts).astype(np.int64).clip(0, parts - 1)
     edge = np.searchsorted(part, np.arange(parts + 1))
     g = key[0].as_py()
-    return _table(_KEYS, [(p, g, keys[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a])
+    return _table(_KEYS, [(p, g, _packed(keys[a:b]), np.packbits(twice[a:b]).tobytes()) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a])
 
 
 def _match(rows: pa.Table) -> pa.Table:
     groups = rows.column("g").to_pylist()
-    keys = [np.frombuffer(k, np.uint64) for k in rows.column("keys").to_pylist()]
+    keys = [_unpacked(k) for k in rows.column("keys").to_pylist()]
     twice = [np.unpackbits(np.frombuffer(t, np.uint8))[: len(k)] for t, k in zip(rows.column("twice").to_pylist(), keys)]
     everything = np.sort(np.concatenate(keys + [k[t > 0] for k, t in zip(keys, twice)]))
     shared = np.unique(everything[1:][everything[1:] == everything[:-1]])
@@ -167,12 +179,12 @@ def _match(rows: pa.Table) -> pa.Table:
         at = np.minimum(np.searchsorted(shared, k), max(len(shared) - 1, 0))
         mine = k[shared[at] == k] if len(shared) else k[:0]
         if len(mine):
-            out.append((g, 0, 0, mine.tobytes()))
+            out.append((g, 0, 0, _packed(mine)))
     return _table(_BACK, out)
 
 
 def _shared_keys(back: pa.Table) -> np.ndarray:
-    found = [np.frombuffer(c, np.uint64) for c, k in zip(back.column("content").to_pylist(), back.column("kind").to_pylist()) if k == 0]
+    found = [_unpacked(c) for c, k in zip(back.column("content").to_pylist(), back.column("kind").to_pylist()) if k == 0]
     return np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
@@ -184,10 +196,11 @@ def _send(rows: pa.Table, back: pa.Table, shards: int) -> pa.Table:
     runs, content, strings, least = held.shared(_shared_keys(back))
     shard = held.shard_of(runs, content, len(strings), shards)
     lengths = np.fromiter(map(len, strings), np.int32, len(strings))
+    squeeze = zstandard.ZstdCompressor(3)
     out = []
     for s in np.unique(shard).tolist():
         mine = np.flatnonzero(shard == s)
-        out.append((s, g, lengths[mine].tobytes(), least[mine].tobytes(), b"".join([strings[k] for k in mine])))
+        out.append((s, g, lengths[mine].tobytes(), least[mine].tobytes(), squeeze.compress(b"".join([strings[k] for k in mine]))))
     return _table(_SENT, out)
 
 
@@ -196,24 +209,30 @@ def _sort_shard(key, rows: pa.Table) -> pa.Table:
     number: dict[bytes, int] = {}
     entries = []
     for g, lengths, least, data in zip(*(rows.column(c).to_pylist() for c in ("g", "lengths", "least", "content"))):
-        lengths = np.frombuffer(lengths, np.int32)
+        lengths, data = np.frombuffer(lengths, np.int32), zstandard.decompress(data)
         ends = np.cumsum(lengths)
         which = np.fromiter((number.setdefault(data[e - n : e], len(number)) for e, n in zip(ends.tolist(), lengths.tolist())), np.int64, len(lengths))
         entries.append((g, which, np.frombuffer(least, np.int64)))
     owner = np.full(len(number), LAST)
     for _, which, least in entries:
         np.minimum.at(owner, which, least)
-    size = np.fromiter(map(len, number), np.int64, len(number))
-    text = np.frombuffer(b"\xff".join(number) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: it wraps to the separator 0
-    begin = np.cumsum(size + 1) - size - 1
-    windows = size - LENGTH + 1
+    strings = list(number)
+    windows = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
     first = np.cumsum(windows) - windows
-    of = np.repeat(np.arange(len(number)), windows)
-    starts = begin[of] + np.arange(len(of)) - first[of]
-    classes = prefix_classes(text, starts, LENGTH)
-    least_of_class = np.full(int(classes.max()) + 1, LAST)
-    np.minimum.at(least_of_class, classes, owner[of])
-    held_by = least_of_class[classes]
+    of = np.repeat(np.arange(len(strings)), windows)
+    held_by = owner[of]
+    # a run that shares its minimizer with no other run holds windows that no other run holds
+    _, key, count = np.unique(Runs(np.zeros(len(strings), np.int64), strings).key, return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(count[key.ravel()] > 1)
+    if len(mixed):
+        text = np.frombuffer(b"\xff".join([strings[k] for k in mixed]) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no byte 255: it wraps to the separator 0
+        begin = np.cumsum(windows[mixed] + LENGTH) - windows[mixed] - LENGTH
+        inner = np.repeat(np.arange(len(mixed)), windows[mixed])
+        step = np.arange(len(inner)) - np.repeat(np.cumsum(windows[mixed]) - windows[mixed], windows[mixed])
+        classes = prefix_classes(text, begin[inner] + step, LENGTH)
+        least_of_class = np.full(int(classes.max()) + 1, LAST)
+        np.minimum.at(least_of_class, classes, owner[mixed[inner]])
+        held_by[first[mixed[inner]] + step] = least_of_class[classes]
     out = []
     for g, which, least in entries:
         n = windows[which]
@@ -221,6 +240,7 @@ def _sort_shard(key, rows: pa.Table) -> pa.Table:
         flags = held_by[at] < np.repeat(least, n)
         if flags.any():
             out.append((g, 1, shard, np.packbits(flags).tobytes()))
+    give_back()
     return _table(_BACK, out)
 
 
