@@ -195,13 +195,13 @@ class Automaton:
                 live = self.inner[node] & (size[at] > end)
                 at, node = at[live], node[live]
         out = []
-        for k, n in enumerate(size.tolist()):
-            ids, end = [], n
-            tokens, origin = last[k], came[k]
+        for end, tokens, origin in zip(size.tolist(), last.tolist(), came.tolist()):
+            ids = []
             while end > 0:
-                ids.append(int(tokens[end]))
-                end = int(origin[end])
-            out.append(ids[::-1])
+                ids.append(tokens[end])
+                end = origin[end]
+            ids.reverse()
+            out.append(ids)
         return out
 
 
@@ -223,6 +223,7 @@ class Codec:
             else None
         )
         self.labels = dict(enumerate(self.automaton.labels)) | {i: s for s, i in self.added.items()}
+        self.digits = list(map(str, range(max(self.labels) + 1)))
         self.memo = memo
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, str] = {}
@@ -257,17 +258,20 @@ class Codec:
         new = [w for w in words if w not in self.ids]
         cuts = [[w] if w.isalpha() else PIECES.findall(w) for w in new]
         pieces = list({p for c in cuts for p in c})
-        label = self.labels
-        known = {}
-        for piece, ids in zip(pieces, self.automaton.encode([p.encode() for p in pieces])):
-            known[piece] = (" ".join(map(str, ids)), " ".join([label[i] for i in ids]))
+        label, digits = self.labels.__getitem__, self.digits.__getitem__
+        encoded = self.automaton.encode([p.encode() for p in pieces])
+        as_ids = {p: " ".join(map(digits, ids)) for p, ids in zip(pieces, encoded)}
+        as_text = {p: " ".join(map(label, ids)) for p, ids in zip(pieces, encoded)}
         for word, cut in zip(new, cuts):
             if word in self.added:
                 self.ids[word] = str(self.added[word])
                 self.decoded[word] = word
+            elif len(cut) == 1:
+                self.ids[word] = as_ids[cut[0]]
+                self.decoded[word] = as_text[cut[0]]
             else:
-                self.ids[word] = " ".join([known[p][0] for p in cut])
-                self.decoded[word] = " ".join([known[p][1] for p in cut])
+                self.ids[word] = " ".join([as_ids[p] for p in cut])
+                self.decoded[word] = " ".join([as_text[p] for p in cut])
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """(decimal ids joined by spaces, decoded text) of each text."""

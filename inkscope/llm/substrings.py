@@ -162,7 +162,9 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 def _report(key, rows: pa.Table, parts: int) -> pa.Table:
     keys, twice = _documents(rows).keys()
-    part = (keys.astype(np.float64) / 2.0**48 * parts).astype(np.int64).clip(0, parts - 1)
+    part = ((keys * _ODD[0] >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)  # minimizers crowd at low values
+    order = np.argsort(part, kind="stable")
+    keys, twice, part = keys[order], twice[order], part[order]
     edge = np.searchsorted(part, np.arange(parts + 1))
     g = key[0].as_py()
     return _table(_KEYS, [(p, g, _packed(keys[a:b]), np.packbits(twice[a:b]).tobytes()) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a])

@@ -85,9 +85,10 @@ def test_groups(spark):
 # -- suffix order ----------------------------------------------------------------------------
 
 
-def test_suffix_order():
+def test_suffix_order(monkeypatch):
     r = np.random.default_rng(0)
-    for trial in range(300):
+    for trial in range(400):
+        monkeypatch.setattr(induced, "BLOCK", int(r.choice([1, 3, 1 << 19])))
         n, depth = int(r.integers(1, 120)), int(r.choice([3, 5, 10, 50]))
         s = r.integers(0, int(r.integers(1, 4)) + 1, n).astype(np.uint8)
         if trial % 3 == 0:
@@ -95,13 +96,15 @@ def test_suffix_order():
         if trial % 7 == 0:
             s = np.full(n, 1, np.uint8)
         if trial % 5 == 0:
-            s = np.minimum(s.astype(int) * 127, 255).astype(np.uint8)
-        order = induced.suffix_order(s, depth, budget=64 if trial % 2 else 1 << 20)  # 64: everything spills
+            s = np.minimum(s.astype(int) * 127, 254).astype(np.uint8)
+        order, shared = induced.suffix_order(s, depth, budget=64 if trial % 2 else 1 << 20)  # 64: everything spills
         b = bytes(s)
         assert sorted(order.tolist()) == list(range(len(s)))
         keys = [b[i : i + depth] for i in order]
         assert keys == sorted(keys)
-        starts = np.arange(len(s) - depth + 1)
+        common = [next((k for k, (x, y) in enumerate(zip(a, c)) if x != y), min(len(a), len(c))) for a, c in zip(keys, keys[1:])]
+        assert shared.tolist() == [0, *common]
+        starts = np.array([i for i in range(len(s) - depth + 1) if 0 not in b[i : i + depth]], int)
         if len(starts):
             classes = induced.prefix_classes(s, starts, depth)
             seen = defaultdict(set)
