@@ -32,7 +32,8 @@ def scan_bytes(df: DataFrame, options: Options = Options(), content: str = "cont
     seen = decoded(df, content).withColumn("error", F.coalesce(reason, F.nullif(F.col("error"), F.lit(""))))
     seen = seen.withColumn("__text", F.when(F.col("error").isNull(), F.col("text")).otherwise("")).drop("text")
     done = clean_text(seen, Options(**{**options.__dict__, "clean": True}), path, "__text", path)
-    coded = encode_text(F.col("clean_text"), F.col("encoding"), F.col("had_bom"))
+    # not deterministic to the optimizer: else a later filter moves it into the join
+    coded = encode_text.asNondeterministic()(F.col("clean_text"), F.col("encoding"), F.col("had_bom"))
     out = done.withColumn("__bytes", F.when(F.col("changed"), coded))
     lost = F.when(F.col("changed") & F.col("__bytes").isNull(), F.concat(F.lit("cannot encode as "), "encoding"))
     return out.withColumn("cleaned", F.coalesce("__bytes", c)).withColumn("error", F.coalesce("error", lost)).drop("__text", "clean_text", "__bytes")

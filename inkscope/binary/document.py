@@ -17,7 +17,7 @@ from xml.parsers import expat
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, StringType, StructField, StructType
 
 from .provenance import strips
 
@@ -293,6 +293,20 @@ def residue(data: bytes, values: list[str]) -> list[str]:
     return [v for v in values if v and v.encode() in data]
 
 
+def text_runs(data: bytes) -> list[str]:
+    """Distinct character data of the body parts, as written between tags."""
+    kind = detect(data)
+    if not kind or kind == "pdf":
+        return []
+    archive, out = _open(data), {}
+    for info in archive.infolist():
+        if _belongs(kind, info.filename, 1) and (content := _entry(archive, info)) is not None:
+            for m in _TEXT_RUN.finditer(content):
+                if m[1] is not None:
+                    out[m[1].decode("utf-8", "replace")] = None
+    return list(out)
+
+
 # -- columns ----------------------------------------------------------------------------
 
 DOCUMENT = StructType(
@@ -313,6 +327,43 @@ def read_document(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["format", "metadata", "text"])
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def runs_of(content: pd.Series) -> pd.Series:
+    return pd.Series([text_runs(bytes(c or b"")) for c in content], dtype=object)
+
+
+FIXED = StructType([StructField("content", BinaryType()), StructField("changed", BooleanType()), StructField("residue", ArrayType(StringType()))])
+
+
+@F.pandas_udf(FIXED)
+def fix_content(content: pd.Series, mode: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    rows = []
+    for c, m, a, b in zip(content, mode, old, new):
+        data = bytes(c or b"")
+        edits = dict(zip(a, b)) if a is not None else {}
+        out, changed = fix(data, m, (lambda s, e=edits: e.get(s, s)) if edits else None)
+        gone = [v for label, v in read(data)[1] if m != "none" and strips(m, label, v)]
+        rows.append((out, changed, residue(out, gone) if changed else []))
+    return pd.DataFrame(rows, columns=["content", "changed", "residue"])
+
+
+def fix_documents(files: DataFrame, options, mode: str = "none", path: str = "path", content: str = "content") -> DataFrame:
+    """(path, content, changed, residue) of the containers among ``files``, cleaned.
+
+    Character data is taken out, cleaned as texts of that path, and put back; each
+    run is judged by itself.  ``residue`` lists stripped values that the new bytes still hold.
+    """
+    from ..operators.detect import clean_text
+    from ..sources.codec import maybe_container
+
+    held = files.where(maybe_container(F.col(content))).select(F.col(path).alias("path"), F.col(content).alias("content"))
+    runs = held.select("path", F.explode(runs_of(F.col("content"))).alias("text")).withColumn("run", F.struct("path", "text"))
+    done = clean_text(runs, options, "run").where("changed").groupBy("path").agg(F.collect_list(F.struct("text", "clean_text")).alias("e"))
+    joined = held.join(done, "path", "left")
+    fixed = fix_content(F.col("content"), F.lit(mode), F.col("e.text"), F.col("e.clean_text"))
+    return joined.select("path", fixed.alias("f")).select("path", "f.*")
+
+
 def document_reports(files: DataFrame, content: str = "content") -> DataFrame:
     """(path, format, metadata, text) of the containers among ``files``."""
     from ..sources.codec import maybe_container

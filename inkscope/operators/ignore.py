@@ -9,7 +9,7 @@ later patterns say of the file itself.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,6 +82,7 @@ class Pattern:
     regex: str | None  # of the path from the root; None matches nothing
     include: bool
     dirs_only: str | None  # regex under which a match of the whole path must be a directory
+    prefix: str = ""  # what stands before the paths it is given
 
     @classmethod
     def parse(cls, line: str, domain: tuple[str, ...] = ()) -> Pattern:
@@ -124,11 +125,16 @@ class Pattern:
         body = "/".join(out)
         return (f"{body}(?:/.*)?", body) if matched else (None, "")
 
+    def below(self, parts: tuple[str, ...]) -> Pattern:
+        """The same pattern for paths that start below ``parts``."""
+        return replace(self, prefix="".join(p + "/" for p in parts) + self.prefix)
+
     def matches(self, path: Column, is_dir: Column) -> Column:
         if self.regex is None:
             return F.lit(False)
-        hit = path.rlike(self.regex)
-        return hit if self.dirs_only is None else hit & (is_dir | ~path.rlike(self.dirs_only))
+        whole = F.concat(F.lit(self.prefix), path) if self.prefix else path
+        hit = whole.rlike(self.regex)
+        return hit if self.dirs_only is None else hit & (is_dir | ~whole.rlike(self.dirs_only))
 
 
 def _literal(name: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -46,20 +46,25 @@ def file_reports(df: DataFrame, options: Options = Options(), text: str = "text"
     )
 
 
-def summary(reports: DataFrame) -> DataFrame:
-    """One row of sums over ``file_reports``; a file counts as marked if it has findings."""
+def totals(marked: Column) -> list[Column]:
+    """The sums over reports, given how marked files are counted."""
     n = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0))
     chosen = lambda c: F.coalesce(F.sum(F.size(F.filter("findings", lambda f: f[c]))), F.lit(0))
-    return reports.agg(
+    return [
         F.count(F.lit(1)).alias("files_scanned"),
-        F.count_if(F.size("findings") > 0).alias("files_with_markers"),
+        marked,
         n("findings").alias("markers_detected"),
         chosen("actionable").alias("markers_actionable"),
         chosen("applied").alias("markers_applied"),
         n("payloads").alias("payloads_decoded"),
         n("mixed_script").alias("mixed_script_words"),
         F.coalesce(F.sum("suppressed"), F.lit(0)).alias("suppressed"),
-    )
+    ]
+
+
+def summary(reports: DataFrame) -> DataFrame:
+    """One row of sums over ``file_reports``; a file counts as marked if it has findings."""
+    return reports.agg(*totals(F.count_if(F.size("findings") > 0).alias("files_with_markers")))
 
 
 def exit_code(total: DataFrame, errors: int = 0, fail: bool = True) -> DataFrame:
