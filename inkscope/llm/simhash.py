@@ -142,14 +142,103 @@ def _stars(fps: DataFrame) -> DataFrame:
     )
 
 
-def groups(df: DataFrame, shingle: int = 3, crowd: int = CROWD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def block_links(fps: DataFrame, radius: int) -> DataFrame:
+    """(a, b), a < b: enough links within ``radius`` to connect all that are.
+
+    For radii that whole halves cannot serve.  With one block for every three
+    bits of ``radius + 1``, some block of a linked pair differs in two bits at most,
+    so the balls of radius one around the two blocks meet: a variant is shared.
+    Members of a bucket are compared on all 64 bits, sorted runs of small buckets at
+    once, large ones by a search that gives each member one link, not all pairs.
+
+    Keys have 64 / blocks bits: chance meetings, which cost a comparison each and no
+    row, grow with the square of the distinct fingerprints over 2 ** bits.
+    """
+    blocks = max(2, -(-(radius + 1) // 3))
+    edge = [64 * k // blocks for k in range(blocks + 1)]
+    parts = []
+    for k, (lo, hi) in enumerate(zip(edge, edge[1:])):
+        value = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).bitwiseOR(F.lit(k << 56))
+        parts.append(F.transform(F.expr(f"concat(array(0L), transform(sequence(0, {hi - lo - 1}), i -> shiftleft(1L, i)))"), lambda d, v=value: v.bitwiseXOR(d)))
+    variants = fps.select("fp", F.explode(F.concat(*parts)).alias("key"))
+    dealt = variants.repartition("key").sortWithinPartitions("key")
+    return dealt.select("key", "fp").mapInArrow(lambda batches: _meet(batches, radius), "a bigint, b bigint").distinct()
+
+
+#: Buckets beyond this are searched, not compared pair by pair.
+SMALL = 48
+
+
+def _meet(batches, radius: int):
+    held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key = np.concatenate([held_key, batch.column("key").to_numpy()])
+        fp = np.concatenate([held_fp, batch.column("fp").to_numpy()])
+        if not len(key):
+            continue
+        cut_at = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
+        held_key, held_fp = key[cut_at:], fp[cut_at:]
+        yield _pairs(key[:cut_at], fp[:cut_at], radius)
+    yield _pairs(held_key, held_fp, radius)
+
+
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= radius
+
+
+def _pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> pa.RecordBatch:
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(key) > 1:
+        start = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        size = np.diff(np.concatenate([start, [len(key)]]))
+        small = np.flatnonzero((np.repeat(size, size) > 1) & (np.repeat(size, size) <= SMALL))
+        k, f = key[small], fp[small]
+        for step in range(1, int(size[(size > 1) & (size <= SMALL)].max(initial=1))):
+            hit = np.flatnonzero((k[step:] == k[:-step]) & _near(f[step:], f[:-step], radius))
+            found.append((f[hit], f[hit + step]))
+        for at in np.flatnonzero(size > SMALL):
+            found.append(_search(fp[start[at] : start[at] + size[at]], radius))
+    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+    b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _search(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among ``fp``: each member is met once."""
+    left = np.unique(fp)
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    while left.size:
+        front, left = left[:1], left[1:]
+        while front.size and left.size:
+            met = np.zeros(left.size, bool)
+            for begin in range(0, front.size, 64):  # in blocks of bounded memory
+                rest = np.flatnonzero(~met)
+                for lo in range(0, rest.size, 65_536):
+                    part = rest[lo : lo + 65_536]
+                    near = _near(front[begin : begin + 64, None], left[part][None, :], radius)
+                    hit = near.any(0)
+                    a.append(front[begin + near.argmax(0)[hit]])
+                    b.append(left[part[hit]])
+                    met[part[hit]] = True
+            front, left = left[met], left[~met]
+    empty = np.zeros(0, np.int64)
+    return np.concatenate(a) if a else empty, np.concatenate(b) if b else empty
+
+
+def groups(
+    df: DataFrame, shingle: int = 3, crowd: int = CROWD, key: str = "doc_id", text: str = "text", radius: int = RADIUS
+) -> DataFrame:
     """(key, fp, component_id): ``component_id`` is the least key of the group.
 
-    Repeated rows give repeated results; an empty table gives none.
+    Radii other than three are linked by blocks.  Repeated rows give repeated
+    results; an empty table gives none.
     """
     prints = cut(fingerprints(df, shingle, key, text))
     nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    found = roots(links(nodes.select("fp"), crowd))
+    linked = links(nodes.select("fp"), crowd) if radius == RADIUS else block_links(nodes.select("fp"), radius)
+    found = roots(linked)
     named = nodes.join(found, nodes.fp == found.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )

@@ -68,6 +68,31 @@ def test_links_lose_none(spark):
         assert union(pairs, signed) == want
 
 
+def test_block_links_lose_none(spark, monkeypatch):
+    r = random.Random(15)
+    prints = {0, (1 << 64) - 1}
+    for _ in range(50):
+        base = r.getrandbits(64)
+        for _ in range(r.randint(1, 8)):
+            base ^= sum(1 << b for b in r.sample(range(64), r.randint(0, 10)))
+            prints.add(base)
+    signed = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    for radius in (2, 5, 8, 11):
+        want = union([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= radius], signed)
+        pairs = [(x.a, x.b) for x in simhash.block_links(df, radius).collect()]
+        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= radius and a < b for a, b in pairs)
+        assert union(pairs, signed) == want
+    near = np.array([b ^ 5 for b in range(400)] + [31 << 40], np.int64)  # one large bucket
+    a, b = simhash._search(near, 3)
+    assert len(a) == len(b) <= len(near) and {*union(zip(a.tolist(), b.tolist()), near.tolist()).values()} == {0, 31 << 40}
+    key = np.repeat(np.arange(40), np.arange(40) * 3)
+    fp = np.random.default_rng(1).integers(0, 1 << 12, len(key))
+    got = simhash._pairs(key, fp, 1).to_pydict()
+    brute = [(int(min(x, y)), int(max(x, y))) for k in range(40) for x in fp[key == k] for y in fp[key == k] if int(x ^ y).bit_count() == 1]
+    assert union(zip(got["a"], got["b"]), fp.tolist()) == union(brute, fp.tolist())
+
+
 def test_groups(spark):
     body = "the quick brown fox jumps over the lazy dog and runs away from " * 20
     rows = [(9, body, "x"), (3, body, "x"), (4, body + "end", "x"), (7, None, "x"), (2, "", "x"), (8, "other words entirely " * 9, "x"), (8, "other words entirely " * 9, "x")]
