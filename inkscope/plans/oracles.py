@@ -369,3 +369,46 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "svg_metadata": _with([TOOL], "SELECT doc_id, 'xmp' AS kind, 'CreatorTool' AS label, value FROM tools"),
 }
+
+# -- variations of the chain ------------------------------------------------------------------
+
+_OFFICE = f"(format = 'office' AND code IN ({_common}))"
+_SET = (
+    "configured AS (SELECT *, CASE WHEN kind = 'typographic' AND letter AND NOT suspect THEN 'letter' "
+    f"WHEN NOT in_payload AND {_context} THEN 'context' WHEN format = 'log' OR {_OFFICE} OR (format = 'source' AND kind = 'hidden') THEN 'ignored' "
+    "WHEN covered THEN 'suppressed' ELSE 'finding' END AS verdict FROM facts)"
+)
+_TYPESET = [
+    seeded_sql().replace("seeded AS", "plain AS", 1),
+    "seeded AS (SELECT doc_id, path, CASE WHEN doc_id % 2 = 0 THEN replace(text, ', ', chr(8212)) ELSE text END AS text, lang, source FROM plain)",
+]
+_STRICT = f"strict AS (SELECT *, CASE WHEN format = 'log' OR {_OFFICE} THEN 'ignored' WHEN covered THEN 'suppressed' ELSE 'finding' END AS verdict FROM facts)"
+_FENCE = "'^[ \\t]*(`{3,}|~{3,})'"
+
+ORACLE_SQL |= {
+    "policy_configured": _with(
+        [*CHAIN[:-2], _SET],
+        "SELECT format, kind, verdict, verdict = 'finding' AND can_clean AND NOT (kind = 'typographic' AND letter) AND NOT (format = 'prose' AND kind = 'typographic') AS actionable, "
+        "count(*) AS n FROM configured GROUP BY ALL",
+    ),
+    "typography_findings": _with([*_TYPESET, *CHAIN[1:]], "SELECT format, verdict, count(*) AS n FROM chain WHERE codepoint = 'U+2014' GROUP BY ALL"),
+    "fence_regions": _with(
+        [seeded_sql(), LINES, f"marks AS (SELECT doc_id, line, regexp_matches(content, {_FENCE}) AS mark FROM lines WHERE {_format('path')} IN ('prose', 'notebook'))",
+         "opened AS (SELECT *, sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS n FROM marks)"],
+        "SELECT doc_id, CAST(line AS BIGINT) AS line FROM opened WHERE mark OR n % 2 = 1",
+    ),
+    "verdict_chain_strict": _with(
+        [*CHAIN[:-2], _STRICT],
+        "SELECT codepoint, verdict, verdict = 'finding' AND can_clean AND NOT (kind = 'typographic' AND letter) AS actionable, count(*) AS n FROM strict GROUP BY ALL",
+    ),
+    "homoglyph_fixes": _with(
+        [*CHAIN, "fixed AS (SELECT *, CASE WHEN NOT can_clean THEN '' WHEN path LIKE '%.json' THEN replace(replacement, '\"', chr(92) || '\"') ELSE replacement END AS new FROM chain "
+         "WHERE verdict = 'finding' AND kind = 'typographic')"],
+        "SELECT codepoint, new AS replacement, CASE WHEN NOT can_clean THEN 'detected' WHEN new = '' THEN 'removed' ELSE 'replaced' END AS action, count(*) AS n FROM fixed GROUP BY ALL",
+    ),
+    "binary_sniff": _with(
+        [ENC],
+        "SELECT doc_id, CASE WHEN k IN (2, 3) THEN false WHEN doc_id % 3 = 0 THEN true WHEN k = 4 THEN "
+        "len(regexp_extract_all(t, '[\\x20-\\x7E\\t\\n\\r]')) <= 0.75 * (length(t) + 1) ELSE false END AS is_binary FROM enc",
+    ),
+}
