@@ -412,3 +412,30 @@ ORACLE_SQL |= {
         "len(regexp_extract_all(t, '[\\x20-\\x7E\\t\\n\\r]')) <= 0.75 * (length(t) + 1) ELSE false END AS is_binary FROM enc",
     ),
 }
+
+# -- what an editor shows -----------------------------------------------------------------------
+
+_PROBLEMS = [
+    *ITEMS,
+    "shown AS (SELECT path, line, col, 1 AS width, CASE WHEN actionable THEN 'warning' ELSE 'information' END AS severity, codepoint AS code, "
+    "kind IN ('hidden', 'tag', 'ideographic-vs') AS invisible, NOT actionable AS rewritable, CASE WHEN actionable THEN change END AS new_text FROM chain "
+    "WHERE verdict = 'finding' AND NOT in_payload UNION ALL SELECT path, line, col, width, 'warning', "
+    "CASE rank WHEN 1 THEN 'tag-ascii' WHEN 2 THEN 'variation-selector' ELSE 'zero-width-binary' END, true, false, '' FROM found WHERE rule = 'payload' "
+    "UNION ALL SELECT path, line, col, width, 'warning', 'mixed-script', false, false, NULL FROM found WHERE rule = 'mixed-script')",
+]
+
+ORACLE_SQL |= {
+    "editor_problems": _with(
+        _PROBLEMS, "SELECT path, line, col AS \"column\", width, severity, code, invisible, rewritable, coalesce(new_text, '-') AS new_text FROM shown"
+    ),
+    "editor_rewrites": _with(
+        _PROBLEMS,
+        'SELECT path, line, col AS "column", codepoint AS code, replacement AS rewrite FROM chain '
+        "WHERE verdict = 'finding' AND NOT in_payload AND NOT actionable AND can_clean AND kind = 'typographic' AND letter AND replacement <> ''",
+    ),
+    "editor_edits": _with(_PROBLEMS, 'SELECT path, line, col AS "column", width, new_text FROM shown WHERE invisible AND new_text IS NOT NULL'),
+    "editor_summary": _with(
+        _PROBLEMS,
+        "SELECT path, count(*) AS problems, count(new_text) AS removable FROM shown WHERE path NOT IN (SELECT path FROM seeded WHERE doc_id % 10 = 0) GROUP BY path",
+    ),
+}

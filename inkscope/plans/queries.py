@@ -11,6 +11,7 @@ from ..binary import document, media, provenance
 from ..functions import text as T
 from ..operators import detect, identity, ignore, lines, payloads, summary, words
 from ..options import FormatPolicy, Options
+from ..sinks import problems as editor
 from ..sinks import reports as sinks
 from ..sources import codec
 from ..tables import SCRIPT_PUNCTUATION
@@ -502,3 +503,36 @@ def svg_metadata(spark, sf_dir):
     made = F.concat(F.lit("<svg><metadata><xmp:CreatorTool>"), "value", F.lit("</xmp:CreatorTool></metadata></svg>"))
     seen = _tools(spark, sf_dir).select("doc_id", F.explode(media.svg_records(made)).alias("m"))
     return seen.select("doc_id", "m.kind", "m.label", "m.value")
+
+
+# -- what an editor shows ---------------------------------------------------------------------
+
+
+def _problems(spark, sf_dir):
+    docs = seeded(spark, sf_dir)
+    pay = detect.reported_payloads(docs, BASE).where("not suppressed")
+    mixed = detect.reported_words(docs, BASE).where("not suppressed")
+    return editor.problems(detect.findings(docs, BASE), pay, mixed)
+
+
+@query
+def editor_problems(spark, sf_dir):
+    return _problems(spark, sf_dir).select("path", "line", "column", "width", "severity", "code", "invisible", "rewritable", F.coalesce("new_text", F.lit("-")).alias("new_text"))
+
+
+@query
+def editor_rewrites(spark, sf_dir):
+    options = Options(directive=DIRECTIVE, fix_homoglyphs=True)
+    done = editor.with_rewrites(_problems(spark, sf_dir), detect.findings(seeded(spark, sf_dir), options))
+    return done.where("rewrite is not null").select("path", "line", "column", "code", "rewrite")
+
+
+@query
+def editor_edits(spark, sf_dir):
+    return editor.edits(_problems(spark, sf_dir), "hidden")
+
+
+@query
+def editor_summary(spark, sf_dir):
+    opened = seeded(spark, sf_dir).where("doc_id % 10 = 0").select("path")
+    return editor.not_open(editor.by_file(_problems(spark, sf_dir)), opened)
