@@ -156,15 +156,19 @@ def block_links(fps: DataFrame, radius: int) -> DataFrame:
     """
     blocks = max(2, -(-(radius + 1) // 3))
     edge = [64 * k // blocks for k in range(blocks + 1)]
-    parts = []
-    for k, (lo, hi) in enumerate(zip(edge, edge[1:])):
-        value = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).bitwiseOR(F.lit(k << 56))
-        parts.append(F.transform(F.expr(f"concat(array(0L), transform(sequence(0, {hi - lo - 1}), i -> shiftleft(1L, i)))"), lambda d, v=value: v.bitwiseXOR(d)))
+    parts = [_block_ball(k, lo, hi) for k, (lo, hi) in enumerate(zip(edge, edge[1:]))]
     variants = fps.select("fp", F.explode(F.concat(*parts)).alias("key"))
     dealt = variants.repartition("key").sortWithinPartitions("key")
     return dealt.select("key", "fp").mapInArrow(lambda batches: _meet(batches, radius), "a bigint, b bigint").distinct()
 
 
+def _block_ball(k: int, lo: int, hi: int):
+    """ARRAY of the variants of bits ``lo`` to ``hi`` within one flip, tagged with the block."""
+    value = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).bitwiseOR(F.lit(k << 56))
+    ball = F.expr(f"concat(array(0L), transform(sequence(0, {hi - lo - 1}), i -> shiftleft(1L, i)))")
+    return F.transform(ball, lambda flip: value.bitwiseXOR(flip))
+
+
 #: Buckets beyond this are searched, not compared pair by pair.
 SMALL = 48
 

@@ -83,6 +83,10 @@ def test_block_links_lose_none(spark, monkeypatch):
         pairs = [(x.a, x.b) for x in simhash.block_links(df, radius).collect()]
         assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= radius and a < b for a, b in pairs)
         assert union(pairs, signed) == want
+    balls = [simhash._block_ball(k, lo, hi) for k, (lo, hi) in enumerate(((0, 21), (21, 42), (42, 64)))]
+    keys = df.limit(1).select("fp", F.concat(*balls).alias("k")).first()
+    assert len(keys.k) == len({*keys.k}) == 67 and sorted(x >> 56 for x in keys.k) == [0] * 22 + [1] * 22 + [2] * 23
+    assert keys.k[0] == keys.fp & (1 << 21) - 1 and keys.k[1] == keys.k[0] ^ 1
     near = np.array([b ^ 5 for b in range(400)] + [31 << 40], np.int64)  # one large bucket
     a, b = simhash._search(near, 3)
     assert len(a) == len(b) <= len(near) and {*union(zip(a.tolist(), b.tolist()), near.tolist()).values()} == {0, 31 << 40}
