@@ -142,6 +142,12 @@ def _stars(fps: DataFrame) -> DataFrame:
     )
 
 
+def _edges(radius: int) -> list[int]:
+    """First bits of the blocks, and 64."""
+    blocks = max(2, -(-(radius + 1) // 3))
+    return [64 * k // blocks for k in range(blocks + 1)]
+
+
 def block_links(fps: DataFrame, radius: int) -> DataFrame:
     """(a, b), a < b: enough links within ``radius`` to connect all that are.
 
@@ -154,8 +160,7 @@ def block_links(fps: DataFrame, radius: int) -> DataFrame:
     Keys have 64 / blocks bits: chance meetings, which cost a comparison each and no
     row, grow with the square of the distinct fingerprints over 2 ** bits.
     """
-    blocks = max(2, -(-(radius + 1) // 3))
-    edge = [64 * k // blocks for k in range(blocks + 1)]
+    edge = _edges(radius)
     parts = [_block_ball(k, lo, hi) for k, (lo, hi) in enumerate(zip(edge, edge[1:]))]
     variants = fps.select("fp", F.explode(F.concat(*parts)).alias("key"))
     dealt = variants.repartition("key").sortWithinPartitions("key")
@@ -190,6 +195,24 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64)) <= radius
 
 
+def _first_shared(key: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether ``key`` is the one of a pair's shared variants that reports it.
+
+    It is their common block, or the lesser block with the lowest differing bit
+    taken over.  In the other buckets they share, the pair is left to that one.
+    """
+    edge = np.array(_edges(radius))
+    block = key >> 56
+    low, width = edge[block].astype(np.uint64), (edge[block + 1] - edge[block]).astype(np.uint64)
+    mask = (np.uint64(1) << width) - np.uint64(1)
+    x, y = (a.view(np.uint64) >> low) & mask, (b.view(np.uint64) >> low) & mask
+    differ = x ^ y
+    lowest = differ & (~differ + np.uint64(1))
+    least = np.minimum(x, y)
+    chosen = np.where(np.bitwise_count(differ) == 2, least ^ lowest, least)
+    return chosen == (key.view(np.uint64) & ((np.uint64(1) << np.uint64(56)) - np.uint64(1)))
+
+
 def _pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> pa.RecordBatch:
     found: list[tuple[np.ndarray, np.ndarray]] = []
     if len(key) > 1:
@@ -199,6 +222,7 @@ def _pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> pa.RecordBatch:
         k, f = key[small], fp[small]
         for step in range(1, int(size[(size > 1) & (size <= SMALL)].max(initial=1))):
             hit = np.flatnonzero((k[step:] == k[:-step]) & _near(f[step:], f[:-step], radius))
+            hit = hit[_first_shared(k[hit], f[hit], f[hit + step], radius)]
             found.append((f[hit], f[hit + step]))
         for at in np.flatnonzero(size > SMALL):
             found.append(_search(fp[start[at] : start[at] + size[at]], radius))

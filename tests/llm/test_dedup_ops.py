@@ -90,11 +90,15 @@ def test_block_links_lose_none(spark, monkeypatch):
     near = np.array([b ^ 5 for b in range(400)] + [31 << 40], np.int64)  # one large bucket
     a, b = simhash._search(near, 3)
     assert len(a) == len(b) <= len(near) and {*union(zip(a.tolist(), b.tolist()), near.tolist()).values()} == {0, 31 << 40}
-    key = np.repeat(np.arange(40), np.arange(40) * 3)
-    fp = np.random.default_rng(1).integers(0, 1 << 12, len(key))
-    got = simhash._pairs(key, fp, 1).to_pydict()
-    brute = [(int(min(x, y)), int(max(x, y))) for k in range(40) for x in fp[key == k] for y in fp[key == k] if int(x ^ y).bit_count() == 1]
-    assert union(zip(got["a"], got["b"]), fp.tolist()) == union(brute, fp.tolist())
+    fp = np.unique(np.random.default_rng(1).integers(0, 1 << 12, 900) << 9)  # dense: small and large buckets
+    values = [[(int(f) >> lo & (1 << hi - lo) - 1 | k << 56) for f in fp] for k, (lo, hi) in enumerate(((0, 21), (21, 42), (42, 64)))]
+    rows = [(v ^ flip, f) for vs in values for v, f in zip(vs, fp.tolist()) for flip in [0, *(1 << i for i in range(22))]]
+    key, fps = (np.array(x, np.int64) for x in zip(*sorted(rows)))
+    brute = [(int(x), int(y)) for x in fp for y in fp if x < y and int(x ^ y).bit_count() <= 8]
+    for limit in (0, 48, 10**6):
+        monkeypatch.setattr(simhash, "SMALL", limit)
+        got = simhash._pairs(key, fps, 8).to_pydict()
+        assert union(zip(got["a"], got["b"]), fp.tolist()) == union(brute, fp.tolist())
 
 
 def test_groups(spark):
