@@ -122,7 +122,9 @@ def suppression(text: Column, directive: str) -> Column:
         lines,
         lambda x, i: F.when(_directive(x, f"{directive}-next-line"), i + 2).when(_directive(x, directive), i + 1).otherwise(F.lit(0)),
     )
-    return F.struct(whole.alias("whole_file"), F.filter(hit, lambda n: n > 0).alias("lines"))
+    found = F.struct(whole.alias("whole_file"), F.filter(hit, lambda n: n > 0).alias("lines"))
+    none = F.struct(F.lit(False).alias("whole_file"), F.array().cast("array<int>").alias("lines"))
+    return F.when(F.contains(text, F.lit(directive)), found).otherwise(none)
 
 
 def code_lines(text: Column) -> Column:
@@ -149,7 +151,8 @@ def code_lines(text: Column) -> Column:
 
 def mask_flag_tags(text: Column) -> Column:
     """Tags that continue a subdivision flag become stand-ins."""
-    return F.regexp_replace(text, rf"(?:({FLAG})|(?!^)\G)({TAG})", "$1" + FLAG_TAG)
+    masked = F.regexp_replace(text, rf"(?:({FLAG})|(?!^)\G)({TAG})", "$1" + FLAG_TAG)
+    return F.when(F.contains(text, F.lit(chr(0x1F3F4))), masked).otherwise(text)
 
 
 def mask_script_marks(text: Column) -> Column:
@@ -158,8 +161,9 @@ def mask_script_marks(text: Column) -> Column:
         marks = char_class(c for c, g in SCRIPT_PUNCTUATION.items() if g == group)
         letter = rf"[\p{{L}}&&[{letter_class}]]"
         between = rf"[^\p{{L}}{marks[1:-1]}]*+"
-        text = F.regexp_replace(text, rf"({letter}{between}|(?!^)\G{between}){marks}", "$1" + NATIVE_MARK)
-        text = F.regexp_replace(text, rf"{marks}(?=\P{{L}}*+{letter})", NATIVE_MARK)
+        masked = F.regexp_replace(text, rf"({letter}{between}|(?!^)\G{between}){marks}", "$1" + NATIVE_MARK)
+        masked = F.regexp_replace(masked, rf"{marks}(?=\P{{L}}*+{letter})", NATIVE_MARK)
+        text = F.when(text.rlike(marks), masked).otherwise(text)
     return text
 
 

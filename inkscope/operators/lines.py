@@ -11,7 +11,8 @@ from ..tables import char_class
 
 
 def marker_class(options: Options) -> str:
-    return char_class(m.code for m in options.markers())
+    """Class of all markers; ASCII and Latin letters fail its first, cheap test."""
+    return r"[[^\x{0}-\x{9F}\x{C0}-\x{1C2}]&&" + char_class(m.code for m in options.markers()) + "]"
 
 
 def with_lines(df: DataFrame, text: str, pattern: str, extra: dict | None = None) -> DataFrame:

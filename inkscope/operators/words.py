@@ -9,7 +9,7 @@ from ..functions import text as T
 from .lines import with_lines
 
 #: A mixed word needs a character of a script other than Latin.
-FOREIGN = r"[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]"
+FOREIGN = r"[[^\x{0}-\x{2DF}]&&[^\p{IsLatin}\p{IsCommon}\p{IsInherited}]]"
 
 
 def line_words(content: Column) -> Column:
