@@ -12,13 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkscope.llm import bpe, langid, linededup, mixing, simhash
+from inkscope.llm import bpe, langid, linededup, mixing, neardup
 from inkscope.llm.common import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words per shingle of the near-duplicate stage, and differing bits of 64 that still
-#: link: 8 bits stand for a cosine of 0.92, a similarity of about 0.86 of shingle sets.
-SHINGLE, RADIUS = 5, 8
+#: Words per shingle of the near-duplicate stage.
+SHINGLE = 5
 #: Below this posterior a language is not accepted.
 LEAST_SCORE = 0.5
 
@@ -41,14 +40,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each SimHash group over 5-word shingles.
+    """Keep the document of least id of each group of near copies over 5-word shingles.
 
-    Of repeated ids one row stays; documents without an id stay.
+    Links are pairs at a Jaccard similarity of 0.8 or more (``neardup``).  Of equal
+    rows one stays; different texts of one id are documents of their own;
+    documents without an id stay.
     """
     known = docs.where("doc_id is not null")
-    found = simhash.groups(known, shingle=SHINGLE, radius=RADIUS).where("doc_id = component_id").select("doc_id").distinct()
-    single = known.dropDuplicates(["doc_id"])  # first: the join then finds its rows in place
-    return single.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    found = neardup.survivors(known, SHINGLE)
+    single = known.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"])  # first: the join then finds its rows in place
+    return single.join(found, ["doc_id", "h"], "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from inkscope.llm import components, induced, linededup, simhash, substrings
+from inkscope.llm import components, induced, linededup, neardup, simhash, substrings
 
 
 def union(pairs, nodes):
@@ -115,6 +115,31 @@ def test_groups(spark):
     assert simhash.groups(df.where("false").select("doc_id", "text")).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({*neardup.shingle_set(t).tolist()} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def kept_by_stage(spark, texts):
+    import corpus_pipeline
+
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+
+
+def test_near_copies_at_the_threshold_are_linked(spark):
+    """Copies at 0.80 to 0.84, long and short, all leave."""
+    r = random.Random(23)
+    words = lambda n: ["w%d" % r.randrange(10**6) for _ in range(n)]
+    texts = []
+    for n, more in [(300, 70)] * 20 + [(84, 20)] * 20 + [(24, 5)] * 10 + [(8, 1)] * 10:
+        base = words(n)
+        texts += [" ".join(base), " ".join(base + words(more))]
+    assert all(0.8 <= jaccard(a, b) < 0.85 for a, b in zip(texts[::2], texts[1::2]))
+    assert kept_by_stage(spark, texts) == {*range(0, len(texts), 2)}
+
+
 # -- suffix order ----------------------------------------------------------------------------
 
 
