@@ -140,6 +140,22 @@ def test_near_copies_at_the_threshold_are_linked(spark):
     assert kept_by_stage(spark, texts) == {*range(0, len(texts), 2)}
 
 
+def test_near_fingerprints_alone_drop_nothing(spark):
+    """Pairs below 0.8 stay, alone and at the end of a chain of true copies."""
+    r = random.Random(29)
+    words = lambda n: ["w%d" % r.randrange(10**6) for _ in range(n)]
+    texts = []
+    for k in range(40):
+        base = words(300)
+        texts += [" ".join(base), " ".join(base + words(80 + k % 20))]
+    assert all(0.7 < jaccard(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2]))
+    assert kept_by_stage(spark, texts) == {*range(len(texts))}
+    base = words(100)
+    chain = [" ".join(base[k * 8 : k * 8 + 60]) for k in range(4)] + ["short text", "Short  TEXT", "other text"]
+    want = union([(a, b) for a in range(7) for b in range(a) if jaccard(chain[a], chain[b]) >= 0.8], range(7))
+    assert kept_by_stage(spark, chain) == {*want.values()}
+
+
 # -- suffix order ----------------------------------------------------------------------------
 
 
