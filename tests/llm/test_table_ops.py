@@ -466,5 +466,17 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, kept[4]))
 
 
+def test_lines_of_a_large_source(spark):
+    """A line on 3% of a large source goes; a rare line and the texts beside it stay."""
+    import corpus_pipeline
+
+    own = lambda k: f"line of {k}\n\nand  more of {k} "
+    texts = [own(k) + ("\nread our letter" if k % 33 == 0 else "") + ("\na rare line" if k % 150 == 0 else "") for k in range(1_000)]
+    rows = [(k, t, "en", "big", len(t)) for k, t in enumerate(texts)] + [(2_000, "read our letter", "en", "small", 15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {k: t.replace("\nread our letter", "") for k, t, *_ in rows}
+
+
 def test_registry():
     assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("pii simhash langid substrings line_dedup mixing ann bpe sharding webp".split(), 1))
