@@ -59,9 +59,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 def mix(
     df: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights=WEIGHTS, share: float = SHARE, most: int = MOST,
+    weights=WEIGHTS, share: float = SHARE, most: int = MOST, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, size, source_size, target, taken) of every row.
+    """(key, size, source_size, target, taken) of every row, and its columns ``keep``.
 
     ``labels`` (key, quality) gives the quality weights; without it all are 1.
     Texts are measured before anything is shuffled.
@@ -72,13 +72,14 @@ def mix(
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col(source).alias("source"),
         u.alias("u"),
+        *keep,
     )
     w = F.lit(1.0)
     if labels is not None:
         good, none, poor = QUALITY
         w = F.when(F.col("quality") >= 1, good).when(F.col("quality") < 1, poor).otherwise(none)
         rows = rows.join(_quality(labels, key), "id", "left")
-    rows = cut(rows.select("id", "size", "source", (-F.log("u") / w).alias("draw")))
+    rows = cut(rows.select("id", "size", "source", (-F.log("u") / w).alias("draw"), *keep))
     buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     rows = rows.withColumn("part", F.least(F.floor((1 - F.exp(-F.col("draw"))) * buckets), F.lit(buckets - 1)).cast("int"))
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
@@ -90,7 +91,7 @@ def mix(
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     plan = plan.withColumn("epochs", whole.cast("long")).withColumn("rest", rest)
-    running = Window.partitionBy("source", "part").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("source", "part").orderBy("draw", "id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(running), F.lit(0)))
     joined = placed.join(plan, same(placed, plan) & (placed["part"] == plan["part"]))
     left = F.col("rest") - F.col("before") - F.col("ahead")
@@ -100,4 +101,5 @@ def mix(
         "source_size",
         "target",
         (F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))).cast("long").alias("taken"),
+        *keep,
     )

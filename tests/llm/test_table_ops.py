@@ -478,5 +478,21 @@ def test_lines_of_a_large_source(spark):
     assert got == {k: t.replace("\nread our letter", "") for k, t, *_ in rows}
 
 
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Null and repeated ids: every row is mixed by its own plan, once."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, "no id %d" % k, "en", "a", 7) for k in range(4)] + [(7, "shared id %d" % k, None, "a", 11) for k in range(4)] + [(9, "equal row here", "en", None, 14)] * 4
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, kind)
+    assert corpus_pipeline.near_dedup(spark, docs.where("doc_id = 7"), "").count() == 4
+    got = [tuple(r) for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()]
+    plan = mixing.mix(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")).where("taken > 0").collect()
+    want = {k: sum(math.ceil(r.taken / r.size) for r in plan if r.doc_id == k) for k in (None, 7, 9)}
+    assert {k: sum(r[0] == k for r in got) for k in want} == want and all(want.values())
+    assert {*got} <= {*rows} and len({*got}) == len({*rows})
+
+
 def test_registry():
     assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("pii simhash langid substrings line_dedup mixing ann bpe sharding webp".split(), 1))
