@@ -5,8 +5,9 @@ all S suffixes.  Induction is a priority queue keyed by (first byte, order of
 insertion): elements only ever enter the bucket being read or a later one, so
 each bucket is a queue that is read once, as one array (a run of one byte, which
 enters its own bucket again and again, is laid out at once).  ``Queues`` holds the
-buckets, and moves them to unnamed temporary files when they exceed its memory;
-a shard may then be far larger than memory.
+buckets, and moves them to unnamed temporary files when they exceed its memory.
+Only the queues spill: the text, its words, shapes and the full order stay in
+memory, so a shard must fit there.
 
 Every element in a queue carries the length of the prefix it shares with the
 element before it (up to ``depth``).  A suffix and its predecessor in a bucket
