@@ -20,6 +20,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE = 5
 #: A source is no web host: on the tables its commonest line is on 13% of its documents.
 SOURCE_RATIO = 0.01
+#: Nor is a line on fewer documents judged: a few copies within a small source are no boilerplate.
+SOURCE_LEAST = 5
 #: Below this posterior a language is not accepted.
 LEAST_SCORE = 0.5
 
@@ -36,8 +38,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines on over a hundredth of a source's documents; ``n_chars`` follows the text."""
-    kept = linededup.drop_boilerplate(docs, F.col("source"), key="doc_id", ratio=SOURCE_RATIO)
+    """Remove lines on over a hundredth, and five or more, of a source's documents; ``n_chars`` follows the text."""
+    kept = linededup.drop_boilerplate(docs, F.col("source"), key="doc_id", ratio=SOURCE_RATIO, least=SOURCE_LEAST)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -1,16 +1,20 @@
 """Line dedup by site-relative frequency.
 
-A line is boilerplate of a host if more than ``ratio`` of the host's pages, and
-``least_pages`` or more, contain it; such lines are dropped from the host's
-pages.  A page counts once however often it repeats a line.
+A line is boilerplate of a host if more than ``ratio`` of the host's pages
+contain it and it is on two pages at least (else a host's only page would be
+nothing but boilerplate); such lines are dropped from the host's pages.  A page
+counts once however often it repeats a line.
 
-Lines travel as (host, md5); counts combine before they are shuffled.  The few
-boilerplate lines meet their occurrences in a join that is salted by page, so a
-line on a third of all pages is spread.  Texts are shuffled once, to meet the
-lines that their page loses.
+Lines travel as (host, md5); counts combine before they are shuffled.  Both
+joins are salted, by line and by page, with salts that grow with the number of
+shuffle partitions, so neither a host nor a line on a third of all pages is one
+task.  Texts are shuffled once, to meet the lines that their page loses; a page
+is known by the md5 of its key, host and text.
 
 Null texts and hosts are empty ones.  Blank lines are never boilerplate.  A text
-without boilerplate comes back unchanged, byte for byte.
+without boilerplate comes back unchanged, byte for byte.  The expression that
+cuts pages has no repeated group, so pages of any length and number of tags
+take linear time and constant stack.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATIO = 0.2
-LEAST_PAGES = 5
-SALTS = 16
+#: A line that does not repeat is no boilerplate, whatever its ratio.
+REPEATS = 2
 
 
 def host_of(url: str = "url"):
@@ -28,8 +32,9 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-#: What stands between lines of a page: scripts, styles, comments, tags, line ends.
-BREAK = r"(?is)(?:<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|[\r\n])+"
+#: What stands between lines of a page, one at a time: a script, a style, a comment, a tag, a line
+#: end.  What is never closed runs to the end of the page, so that no character is looked at twice.
+BREAK = r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)|<[a-z/!?][^>]*(?:>|\z)|[\r\n]"
 
 
 def visible_lines(html: str = "html"):
@@ -38,28 +43,38 @@ def visible_lines(html: str = "html"):
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-def boilerplate(rows: DataFrame, ratio: float, least_pages: int) -> DataFrame:
+def _salts(df: DataFrame) -> int:
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+
+def boilerplate(rows: DataFrame, ratio: float, least: int) -> DataFrame:
     """(host, line) that are boilerplate, from ``rows`` (host, lines: distinct keys)."""
-    pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    held = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    return held.where(F.col("n") >= least_pages).join(pages, "host").where(F.col("n") > ratio * F.col("pages")).select("host", "line")
+    salts = _salts(rows)
+    pages = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    held = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    dealt = held.withColumn("salt", F.pmod(F.hash("line"), F.lit(salts)))
+    return dealt.join(pages, ["host", "salt"]).where(F.col("n") > ratio * F.col("pages")).select("host", "line")
+
 
+def drop_boilerplate(df: DataFrame, host, key: str = "page_id", text: str = "text", ratio: float = RATIO, least: int = REPEATS) -> DataFrame:
+    """``df`` with ``text`` rid of boilerplate, plus ``n_lines`` and ``n_dropped``.
 
-def drop_boilerplate(
-    df: DataFrame, host, key: str = "page_id", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES
-) -> DataFrame:
-    """``df`` with ``text`` rid of boilerplate, plus ``n_lines`` and ``n_dropped``."""
+    ``least`` is the number of pages a line must be on to be judged at all.
+    """
     blank = lambda x: F.trim(x) != ""
-    held = df.withColumn("__host", F.coalesce(host, F.lit(""))).withColumn("__id", F.xxhash64(F.col(key), F.col(text), F.col("__host")))
+    held = df.withColumn("__host", F.coalesce(host, F.lit("")))
+    parts = [F.col(key).cast("string"), F.col("__host"), F.col(text)]
+    known = F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts], *[p.isNull().cast("string") for p in parts], F.length("__host").cast("string"))
+    held = held.withColumn("__id", F.md5(known))
     cut = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     rows = held.select(
         F.col("__host").alias("host"), "__id", F.array_distinct(F.transform(F.filter(cut, blank), lambda x: F.md5(x))).alias("lines")
     )
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    found = boilerplate(rows, ratio, least_pages).withColumn("salt", salts)
+    salts = _salts(df)
+    found = boilerplate(rows, ratio, least).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hits = (
         rows.select("__id", "host", F.explode("lines").alias("line"))
-        .withColumn("salt", F.pmod("__id", F.lit(SALTS)).cast("int"))
+        .withColumn("salt", F.pmod(F.hash("__id"), F.lit(salts)))
         .join(found, ["host", "line", "salt"], "left_semi")
         .groupBy("__id").agg(F.collect_set("line").alias("__drop"))
     )

@@ -73,7 +73,7 @@ each AS (SELECT page_id, host, unnest(lines) AS line, generate_subscripts(lines,
 totals AS (SELECT host, count(*) AS pages FROM cut GROUP BY host),
 bad AS (
   SELECT host, line FROM (SELECT host, line, count(DISTINCT page_id) AS n FROM each GROUP BY host, line) JOIN totals USING (host)
-  WHERE n >= {linededup.LEAST_PAGES} AND n > {linededup.RATIO} * pages),
+  WHERE n >= {linededup.REPEATS} AND n > {linededup.RATIO} * pages),
 judged AS (SELECT e.*, b.line IS NOT NULL AS gone FROM each e LEFT JOIN bad b ON b.host = e.host AND b.line = e.line),
 sums AS (
   SELECT page_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -244,7 +245,7 @@ def test_lines(spark):
     rows += [(200, None, "a"), (None, "menu\nx", "a"), (None, "menu\nx", "a"), (201, "", None), (202, "menu\n", "rare")]
     df = spark.createDataFrame(rows, "page_id long, text string, host string").withColumn("line", F.lit("clash"))
     for ratio, least in ((0.2, 5), (0.4, 1)):
-        got = linededup.drop_boilerplate(df, F.col("host"), ratio=ratio, least_pages=least).collect()
+        got = linededup.drop_boilerplate(df, F.col("host"), ratio=ratio, least=least).collect()
         show = lambda x: (str(x[0]), str(x[1]), x[2], x[3])
         assert sorted(show((r.page_id, r.text, r.n_lines, r.n_dropped)) for r in got) == sorted(map(show, brute_lines(rows, ratio, least)))
         assert sum(r.n_dropped for r in got)
@@ -256,3 +257,20 @@ def test_page_lines(spark):
     df = spark.createDataFrame([(html, "HTTP://u@Host.EXAMPLE:80/x"), (None, None), ("plain", "//x")], "html string, url string")
     got = [(r.t, r.h) for r in df.select(linededup.visible_lines().alias("t"), linededup.host_of().alias("h")).collect()]
     assert got == [("One\ntwo\nthree", "host.example"), ("", ""), ("plain", "")]
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<!-- c -->", "\n", "\r\n", "<script>x</script>", "<", "<!--", "<script>", "<style>y</style>", "x <b>"])
+def test_very_long_pages(spark, piece):
+    """A million tags, comments, line ends or things never closed take constant stack and linear time."""
+    n = 1_000_000
+    df = spark.createDataFrame([(1, "http://h/", "start " + "<p>one</p>"), (2, "http://h/", "start <p>")], "page_id long, url string, html string")
+    df = df.withColumn("html", F.concat("html", F.repeat(F.lit(piece), n), F.lit("<i>end</i>")))
+    got = {r.page_id: r for r in df.select("page_id", F.split(linededup.visible_lines(), "\n").alias("x")).select("page_id", F.size("x").alias("n"), F.col("x")[0].alias("a")).collect()}
+    assert {r.a.split("<")[0].strip() for r in got.values()} <= {"start", "start x"}
+    assert (got[1].n > n) == (piece == "x <b>")
+
+
+def test_small_hosts(spark):
+    """The ratio alone decides for a host of a few pages; a host's only page stays whole."""
+    df = spark.createDataFrame([(1, "foot\na", "x"), (2, "foot\nb", "x"), (3, "c", "x"), (4, "foot\nd", "y")], "page_id long, text string, host string")
+    assert {r.page_id: r.text for r in linededup.drop_boilerplate(df, F.col("host")).collect()} == {1: "a", 2: "b", 3: "c", 4: "foot\nd"}
