@@ -1,24 +1,26 @@
-"""BPE encoding and decoding with a tokenization automaton.
+"""BPE encoding and decoding with a compiled tokenization automaton.
 
-The merges are compiled one after the other, each by a *merge gadget*.  The
-automaton reads tokens: from the state a token leads to, an arc labelled with
-the next token exists if and only if the two may stand side by side in a
-correct encoding.  The gadget of merge ``(u, v) -> uv`` with rank ``j``
+The automaton reads tokens.  It starts as one state in which every base symbol
+loops; the merges are then compiled one after the other, each by a *merge
+gadget*.  The gadget of ``(u, v) -> uv``, the j-th merge, finds the state ``q``
+that arcs ``u`` lead to and, if ``q`` has an arc ``v``,
 
-* copies the state that ``u`` leads to, without its arc ``v`` (from rank ``j``
-  on, ``u v`` would have become ``uv``), and lets ``u`` lead to the copy;
-* lets ``uv`` lead where ``v`` leads, as that state stands at rank ``j``;
-* gives every state that has an arc ``u`` an arc ``uv``.
+* copies ``q`` without its arc ``v`` and lets all arcs ``u`` lead to the copy
+  (from now on ``u v`` is written ``uv``);
+* gives every state that has an arc ``u`` an arc ``uv``, which leads where ``v`` led.
 
-A state is therefore known by the arcs that gadgets removed on the way to it.
-``Automaton`` keeps the removed arcs in one hashed table ``(u, v) -> j``; with
-the ranks at which a token was built from its halves this decides every
-transition, so the table has one row per merge whatever the number of states.
+All arcs of one label lead to the same state, so a transition is the label's
+state, if the present state has the arc.  The arcs a state lacks are few runs of
+labels once labels are numbered in preorder of the tree ``left half -> token``,
+children by rank: cutting ``v`` at rank ``j`` takes away ``v`` and everything
+that later merges would have made of it, which is a tail of ``v``'s subtree.
+``Automaton`` therefore holds, for each state, its sorted run bounds in one
+table; a transition is one search in it.
 
 The correct encoding of a pre-split word is the only path that spells it.  It
 is found left to right for all new words of a batch together: from each
-position a trie proposes arcs and the table admits one token per end position.
-Decoding emits the labels of the arcs.
+position a trie proposes labels and the transition table admits one a position.
+Decoding reads nothing but token ids and emits their labels.
 
 Null texts are empty texts (no token).  Rows keep their order; other columns
 are untouched by the operator.
@@ -27,6 +29,7 @@ are untouched by the operator.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import unicodedata
 
@@ -43,7 +46,6 @@ SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\
 #: Characters at which ``str.split`` cuts although they are not white space here.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 END = "</w>"
-FAR = np.int32(2**31 - 1)
 
 
 def byte_symbols() -> list[str]:
@@ -87,7 +89,11 @@ class PairTable:
 
 
 class Automaton:
-    """Deterministic token automaton of one BPE vocabulary."""
+    """Deterministic token automaton of one BPE vocabulary, compiled merge by merge.
+
+    ``state`` is the state that arcs of a token lead to (-1: no path reaches it),
+    ``missing`` the sorted bounds of the label runs that states have no arc for.
+    """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.size = max(vocab.values()) + 1
@@ -95,24 +101,78 @@ class Automaton:
         for token, i in vocab.items():
             self.labels[i] = token
         symbols = byte_symbols()
-        self.plain = np.array([vocab[s] for s in symbols], np.int32)
-        self.final = np.array([vocab[s + END] for s in symbols], np.int32)
-        base = np.concatenate([self.plain, self.final])
-        self.rank = np.full(self.size, -1, np.int32)
-        self.left = np.full(self.size, -1, np.int32)
-        self.right = np.full(self.size, -1, np.int32)
-        spelled: dict[int, tuple[int, ...]] = {int(t): (k,) for k, t in enumerate(base)}
-        removed: dict[tuple[int, int], int] = {}
+        base = [vocab[s + end] for end in ("", END) for s in symbols]
+        steps = []
+        made: dict[int, int] = dict.fromkeys(base, -1)
         for j, (a, b) in enumerate(merges):
             u, v, w = vocab[a], vocab[b], vocab[a + b]
-            removed.setdefault((u, v), j)
-            if w not in spelled:
-                self.rank[w], self.left[w], self.right[w] = j, u, v
+            if w in made:
+                raise ValueError(f"two merges make the token {a + b!r}")
+            made[w] = j
+            steps.append((u, v, w))
+        self._number(base, steps)
+        self._compile(base, steps)
+        spelled: dict[int, tuple[int, ...]] = {t: (k,) for k, t in enumerate(base)}
+        for u, v, w in steps:
+            if self.state[w] >= 0:
                 spelled[w] = spelled[u] + spelled[v]
-        pairs = np.array(list(removed), np.int64).reshape(-1, 2)
-        self.gadgets = PairTable(pairs[:, 0], pairs[:, 1], np.array(list(removed.values()), np.int32))
         self._build_trie(spelled)
 
+    def _number(self, base: list[int], steps: list[tuple[int, int, int]]) -> None:
+        """Preorder numbers of the tokens, children of a left half in the order of their merges."""
+        weight = np.ones(self.size, np.int64)
+        for u, _, w in reversed(steps):
+            weight[u] += weight[w]
+        self.number = np.full(self.size, -1, np.int64)
+        self.number[base] = np.cumsum(weight[base]) - weight[base]
+        free = self.number + 1
+        for u, _, w in steps:  # parents are made before their children
+            self.number[w] = free[u]
+            free[u] += weight[w]
+            free[w] = self.number[w] + 1
+        self.end = self.number + weight
+
+    def _compile(self, base: list[int], steps: list[tuple[int, int, int]]) -> None:
+        number, end = self.number.tolist(), self.end.tolist()
+        grown = [n + 1 for n in number]  # end of a token's subtree so far
+        state = [-1] * self.size
+        for t in base:
+            state[t] = 0
+        #: cuts of each state: the cut label's number, and the tail of its subtree made later
+        origin, cuts = [-1], [(-1, -1, -1)]
+        for u, v, w in steps:
+            q, n = state[u], number[v]
+            while q > 0 and not (cuts[q][0] == n or cuts[q][1] <= n < cuts[q][2]):
+                q = origin[q]
+            if q == 0 and state[v] >= 0:  # no cut on the way took the arc
+                origin.append(state[u])
+                cuts.append((n, grown[v], end[v]))
+                state[w], state[u] = state[v], len(cuts) - 1
+            grown[u] += end[w] - number[w]
+        used = sorted({*state} - {-1} | {0})
+        place = {q: k for k, q in enumerate(used)}
+        self.state = np.array([place.get(q, -1) for q in state], np.int32)
+        rows: list[int] = []
+        low: list[int] = []
+        high: list[int] = []
+        for k, q in enumerate(used):
+            while q > 0:
+                n, lo, hi = cuts[q]
+                rows += (k, k)
+                low += (n, lo)
+                high += (n + 1, hi)
+                q = origin[q]
+        at = np.array(rows, np.int64) * self.size
+        lo, hi = at + np.array(low, np.int64), at + np.array(high, np.int64)
+        order = np.argsort(lo[lo < hi], kind="stable")
+        lo, hi = lo[lo < hi][order], np.maximum.accumulate(hi[lo < hi][order]) if len(order) else hi[:0]
+        first = np.ones(len(lo), bool)
+        first[1:] = lo[1:] > hi[:-1]
+        last = np.ones(len(lo), bool)
+        last[:-1] = first[1:]
+        self.missing = np.stack([lo[first], hi[last]], 1).ravel()
+        self.states = len(used)
+
     def _build_trie(self, spelled: dict[int, tuple[int, ...]]) -> None:
         children: list[dict[int, int]] = [{}]
         token = [-1]
@@ -131,23 +191,10 @@ class Automaton:
         self.next = PairTable(node, symbol, child.astype(np.int32))
         self.inner = np.array([bool(c) for c in children])
 
-    def admits(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Whether each ``last`` state (-1: start) has an arc ``token``."""
-        good = np.ones(len(last), bool)
-        rows = np.flatnonzero(last >= 0)
-        r, r_end = last[rows], np.full(len(rows), FAR)
-        while rows.size:
-            at, s, s_end, rr, re = rows, token[rows], np.full(len(rows), FAR), r, r_end
-            while at.size:
-                j = self.gadgets.find(rr, s)
-                good[at[(j >= 0) & (j < re) & (j <= s_end)]] = False
-                s_end, s = self.rank[s], self.left[s]
-                keep = (s >= 0) & good[at]
-                at, s, s_end, rr, re = at[keep], s[keep], s_end[keep], rr[keep], re[keep]
-            r_end, r = self.rank[r], self.right[r]
-            keep = (r >= 0) & good[rows]
-            rows, r, r_end = rows[keep], r[keep], r_end[keep]
-        return good
+    def step(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The state that each ``token`` leads to from ``state``, -1 where there is no such arc."""
+        cut = np.searchsorted(self.missing, state.astype(np.int64) * self.size + self.number[token], "right") & 1
+        return np.where(cut, np.int32(-1), self.state[token])
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each non-empty pre-split piece (its UTF-8 bytes)."""
@@ -174,10 +221,11 @@ class Automaton:
         row = np.repeat(np.arange(len(pieces)), size)
         sym[row, np.arange(len(flat)) - starts[row]] = flat
         sym[np.arange(len(pieces)), size - 1] += 256
-        last = np.full((len(pieces), width + 1), -1, np.int32)
+        state = np.zeros((len(pieces), width + 1), np.int32)
+        label = np.full((len(pieces), width + 1), -1, np.int32)
         came = np.zeros((len(pieces), width + 1), np.int32)
         for i in range(width):
-            at = np.flatnonzero(size > i)
+            at = np.flatnonzero((size > i) & ((label[:, i] >= 0) if i else True))
             node = np.zeros(len(at), np.int32)
             end = i
             while at.size:
@@ -189,13 +237,13 @@ class Automaton:
                 named = np.flatnonzero(token >= 0)
                 if named.size:
                     rows, token = at[named], token[named]
-                    ok = self.admits(last[rows, i], token)
-                    last[rows[ok], end] = token[ok]
-                    came[rows[ok], end] = i
+                    to = self.step(state[rows, i], token)
+                    rows, token, to = rows[to >= 0], token[to >= 0], to[to >= 0]
+                    state[rows, end], label[rows, end], came[rows, end] = to, token, i
                 live = self.inner[node] & (size[at] > end)
                 at, node = at[live], node[live]
         out = []
-        for end, tokens, origin in zip(size.tolist(), last.tolist(), came.tolist()):
+        for end, tokens, origin in zip(size.tolist(), label.tolist(), came.tolist()):
             ids = []
             while end > 0:
                 ids.append(tokens[end])
@@ -225,13 +273,11 @@ class Codec:
         self.labels = dict(enumerate(self.automaton.labels)) | {i: s for s, i in self.added.items()}
         self.digits = list(map(str, range(max(self.labels) + 1)))
         self.memo = memo
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        self.ids: dict[str, tuple[int, ...]] = {}
 
     def forget(self) -> None:
         """Drop the remembered words."""
         self.ids.clear()
-        self.decoded.clear()
 
     def words(self, text: str) -> list[str]:
         """Words of a text without added tokens: normalised, cut at white space."""
@@ -258,34 +304,29 @@ class Codec:
         new = [w for w in words if w not in self.ids]
         cuts = [[w] if w.isalpha() else PIECES.findall(w) for w in new]
         pieces = list({p for c in cuts for p in c})
-        label, digits = self.labels.__getitem__, self.digits.__getitem__
-        encoded = self.automaton.encode([p.encode() for p in pieces])
-        as_ids = {p: " ".join(map(digits, ids)) for p, ids in zip(pieces, encoded)}
-        as_text = {p: " ".join(map(label, ids)) for p, ids in zip(pieces, encoded)}
+        encoded = dict(zip(pieces, map(tuple, self.automaton.encode([p.encode() for p in pieces]))))
         for word, cut in zip(new, cuts):
             if word in self.added:
-                self.ids[word] = str(self.added[word])
-                self.decoded[word] = word
-            elif len(cut) == 1:
-                self.ids[word] = as_ids[cut[0]]
-                self.decoded[word] = as_text[cut[0]]
+                self.ids[word] = (self.added[word],)
             else:
-                self.ids[word] = " ".join([as_ids[p] for p in cut])
-                self.decoded[word] = " ".join([as_text[p] for p in cut])
+                self.ids[word] = encoded[cut[0]] if len(cut) == 1 else sum((encoded[p] for p in cut), ())
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
-        """(decimal ids joined by spaces, decoded text) of each text."""
+    def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
+        """Token ids of each text."""
         cut = [self.segments(t) if t else [] for t in texts]
         self.learn(set().union(*cut) if cut else set())
-        ids, decoded = self.ids.__getitem__, self.decoded.__getitem__
-        return [(" ".join(map(ids, c)), " ".join(map(decoded, c))) for c in cut]
+        return [list(itertools.chain.from_iterable(map(self.ids.__getitem__, c))) for c in cut]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for i in self.encode_batch([text])[0][0].split()]
+        return self.encode_batch([text])[0]
+
+    def written(self, ids: list[int]) -> str:
+        """Decimal ids joined by spaces."""
+        return " ".join(map(self.digits.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """Emit the arc labels of ``ids``; special tokens stay."""
-        return " ".join(self.labels[i] for i in ids)
+        return " ".join(map(self.labels.__getitem__, ids))
 
 
 @functools.lru_cache(maxsize=2)
@@ -304,9 +345,9 @@ def tokenize(df: DataFrame, path: str | None = None, key: str = "doc_id", text:
     where = path or default_vocabulary()
 
     def run(part: pa.RecordBatch) -> dict:
-        done = codec(where).encode_batch(part.column(text).to_pylist())
-        ids = [np.array(i.split(), np.int32) if i else np.zeros(0, np.int32) for i, _ in done]
-        return {key: part.column(key), "n_tokens": [len(i) for i in ids], "ids": ids, "decoded": [d for _, d in done]}
+        own = codec(where)
+        ids = own.encode_batch(part.column(text).to_pylist())
+        return {key: part.column(key), "n_tokens": [len(i) for i in ids], "ids": ids, "decoded": [own.decode(i) for i in ids]}
 
     kind = df.schema[key].dataType.simpleString()
     ddl = f"{key} {kind}, n_tokens bigint, ids array<int>, decoded string"
@@ -318,12 +359,13 @@ def digests(df: DataFrame, path: str | None = None, key: str = "doc_id", text: s
     where = path or default_vocabulary()
 
     def run(part: pa.RecordBatch) -> dict:
-        done = codec(where).encode_batch(part.column(text).to_pylist())
+        own = codec(where)
+        ids = own.encode_batch(part.column(text).to_pylist())
         return {
             key: part.column(key),
-            "n_tokens": [i.count(" ") + 1 if i else 0 for i, _ in done],
-            "ids_sha256": [sha256_hex(i.encode()) for i, _ in done],
-            "decoded_sha256": [sha256_hex(d.encode()) for _, d in done],
+            "n_tokens": [len(i) for i in ids],
+            "ids_sha256": [sha256_hex(own.written(i).encode()) for i in ids],
+            "decoded_sha256": [sha256_hex(own.decode(i).encode()) for i in ids],
         }
 
     kind = df.schema[key].dataType.simpleString()

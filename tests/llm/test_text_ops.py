@@ -27,11 +27,11 @@ def library():
 def test_bpe_equals_library(library):
     r = random.Random(1)
     texts = [t for t in ODD if t is not None] + ["".join(r.choices("abcdeth inréß'’ 1.,-\n", k=r.randint(0, 80))) for _ in range(800)]
-    done = bpe.Codec(bpe.default_vocabulary(), memo=50).encode_batch(texts)
-    for text, (ids, decoded) in zip(texts, done):
+    codec = bpe.Codec(bpe.default_vocabulary(), memo=50)
+    for text, ids in zip(texts, codec.encode_batch(texts)):
         want = library.encode(text, add_special_tokens=False)
-        assert ids == " ".join(map(str, want.ids)), text
-        assert decoded == library.decode(want.ids, skip_special_tokens=False), text
+        assert ids == want.ids and codec.written(ids) == " ".join(map(str, want.ids)), text
+        assert codec.decode(ids) == library.decode(want.ids, skip_special_tokens=False), text
 
 
 def brute_bpe(word, merges):
@@ -73,6 +73,23 @@ def test_automaton_small_grammars():
         for word, ids in zip(words, auto.encode([w.encode() for w in words])):
             want = brute_bpe([*word[:-1], word[-1] + "</w>"], rank)
             assert [auto.labels[i] for i in ids] == want, (merges, word)
+        # the gadgets done literally: states are sets of arcs, copied one by one
+        arcs = [{*symbols, *(s + "</w>" for s in symbols)}]
+        leads = dict.fromkeys(arcs[0], 0)
+        for u, v in merges:
+            if u not in leads or v not in arcs[leads[u]]:
+                continue
+            old = leads[v]
+            arcs.append(arcs[leads[u]] - {v})
+            leads[u] = len(arcs) - 1
+            leads[u + v] = old
+            for state in arcs:
+                state |= {u + v} if u in state else set()
+        assert {auto.labels[t] for t in range(auto.size) if auto.state[t] >= 0} == {*leads}
+        tokens = np.array([vocab[t] for t in leads])
+        for t, q in leads.items():
+            to = auto.step(np.full(len(tokens), auto.state[vocab[t]]), tokens)
+            assert {auto.labels[k] for k, s in zip(tokens, to) if s >= 0} == arcs[q]
 
 
 def test_bpe_frame(spark, library):
