@@ -3,19 +3,23 @@
 ``decode`` reads canonical prefix codes (one group or many, chosen by an entropy
 image), back-references, the colour cache, and inverts the predictor,
 cross-colour, subtract-green and palette transforms; it returns an array of
-ARGB pixels.  Where a stream has one group of flat codes and no references, its
-pixels are read by array operations instead of symbol by symbol.
+ARGB pixels.
 
 ``store`` writes bytes as red, green and blue samples of an image 64 pixels wide
-(192 bytes a row; wider once rows would pass the format's 16,384).  Every channel
-gets a flat prefix code over the sample values it uses, so text takes six or
-seven bits a sample.  A chunk ``TXLN`` holds the payload's length.  Equal
-payloads give equal files.  What exceeds one image continues in the next file,
-appended.
+(192 bytes a row).  An image of at most 256 colours is stored by a palette; any
+other by a predictor image (for each tile the cheapest of the modes that row
+operations invert) and a cross-colour image (multipliers where they shorten the
+code).  What is left is coded by back-references to the last place where the next
+pixels occurred, the colour cache where it pays, and Huffman codes of at most
+ten bits.  ``fetch`` reads all of that back through the decoder.  A chunk
+``TXLN`` holds the payload's length.  Equal payloads give equal files.  What
+exceeds one image of 16,384 rows continues in the next file, appended, so memory
+is bounded by an image.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 
@@ -69,72 +73,115 @@ class Bits:
 
 
 class Code:
-    """A canonical prefix code given by the lengths of its symbols' codes."""
-
-    def __init__(self, lengths: dict[int, int]):
-        self.symbols = sorted(lengths, key=lambda s: (lengths[s], s))
-        self.longest = max(lengths.values(), default=0)
-        if len(lengths) <= 1:  # one symbol takes no bits
-            self.symbols, self.longest = self.symbols or [0], 0
-        elif sum(1 << (self.longest - n) for n in lengths.values()) != 1 << self.longest:
+    """A canonical prefix code given by the lengths of its symbols' codes, symbols rising."""
+
+    def __init__(self, symbols, lengths):
+        self.symbols, self.lengths = np.array(symbols, np.int64), np.array(lengths, np.int64)
+        if len(symbols) <= 1:  # one symbol takes no bits
+            self.symbols, self.lengths = np.array([*symbols, 0][:1], np.int64), np.zeros(1, np.int64)
+        self.longest = int(self.lengths.max())
+        if (1 << (self.longest - self.lengths)).sum() != 1 << self.longest:
             raise FormatError("a prefix code is not complete")
-        self.flat = len(self.symbols) == 1 << self.longest
-        self.lengths = lengths
-        self._table: list[tuple[int, int]] | None = None
-
-    def table(self) -> list[tuple[int, int]]:
-        """(symbol, length) by the next ``longest`` bits of the stream."""
-        if self._table is None:
-            n = self.longest
-            out: list[tuple[int, int]] = [(self.symbols[0], 0)] * (1 << n)
-            code = prior = 0
-            for s in self.symbols if n else []:
-                size = self.lengths[s]
-                code <<= size - prior
-                prior = size
-                reverse = int(f"{code:0{size}b}"[::-1], 2)
-                for k in range(reverse, 1 << n, 1 << size):
-                    out[k] = (s, size)
-                code += 1
-            self._table = out
-        return self._table
+        self._tables: dict[int, list[int]] = {}
+
+    @property
+    def first(self) -> int:
+        return int(self.symbols[0])
+
+    def table(self, shift: int = 0) -> list[int]:
+        """symbol << (shift + 4) | length, by the next ``longest`` bits of the stream."""
+        if shift not in self._tables:
+            order = np.argsort(self.lengths, kind="stable")
+            size = self.lengths[order]
+            by_code = np.repeat(self.symbols[order] << (shift + 4) | size, 1 << (self.longest - size))
+            self._tables[shift] = by_code[_reversal(self.longest)].tolist()
+        return self._tables[shift]
 
     def read(self, bits: Bits) -> int:
         if not self.longest:
-            return self.symbols[0]
-        symbol, size = self.table()[bits.peek(self.longest)]
-        bits.at += size
-        return symbol
+            return self.first
+        entry = self.table()[bits.peek(self.longest)]
+        bits.at += entry & 15
+        return entry >> 4
+
+
+@functools.lru_cache(maxsize=16)
+def _reversal(n: int) -> np.ndarray:
+    """Every number of ``n`` bits, read backwards."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
+
+@functools.lru_cache(maxsize=1_024)
+def _single(symbol: int) -> Code:
+    return Code([symbol], [1])
+
+
+#: Codes read last, by alphabet: (bits of the declaration, their number, the code).  A declaration
+#: that comes again bit for bit is not parsed again.
+_SEEN: dict[int, list[tuple[int, int, Code]]] = {}
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
+    begin, shift = bits.at >> 3, bits.at & 7
+    for known, n, code in _SEEN.get(alphabet, ()):
+        if (int.from_bytes(bits.data[begin : begin + (n + shift + 7 >> 3)], "little") >> shift) & ((1 << n) - 1) == known:
+            bits.at += n
+            return code
+    start = bits.at
+    code = _parse_code(bits, alphabet)
+    if len(code.symbols) > 2 and (n := bits.at - start) < 4_096:
+        known = (int.from_bytes(bits.data[begin : begin + (n + shift + 7 >> 3)], "little") >> shift) & ((1 << n) - 1)
+        _SEEN[alphabet] = [(known, n, code), *_SEEN.get(alphabet, ())][:4]
+    return code
+
+
+def _parse_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
-        first = bits.read(8 if bits.read(1) else 1)
-        return Code({first: 1, bits.read(8): 1} if two else {first: 1})
-    lengths = {s: n for s in CODE_ORDER[: 4 + bits.read(4)] if (n := bits.read(3))}
-    inner = Code(lengths)
+        used = {bits.read(8 if bits.read(1) else 1)}
+        if two:
+            used.add(bits.read(8))
+        return Code(sorted(used), [1] * len(used)) if len(used) > 1 else _single(used.pop())
+    given = [bits.read(3) for _ in range(4 + bits.read(4))]
+    inner = sorted((s, n) for s, n in zip(CODE_ORDER, given) if n)
+    code = Code([s for s, _ in inner], [n for _, n in inner])
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    out: dict[int, int] = {}
-    at, before = 0, 8
-    table, longest = inner.table(), inner.longest
-    while at < alphabet and left > 0:
+    each: list[int] = []
+    before = 8
+    table, mask = code.table(), (1 << code.longest) - 1
+    word = held = 0
+    while len(each) < alphabet and left > 0:
         left -= 1
-        token, size = table[bits.peek(longest)]
-        bits.at += size
+        if held < 14:
+            begin = bits.at >> 3
+            word = int.from_bytes(bits.data[begin : begin + 128], "little") >> (bits.at & 7)
+            held = 1_024 - (bits.at & 7)
+        entry = table[word & mask]
+        size, token = entry & 15, entry >> 4
         if token < 16:
             if token:
-                out[at] = before = token
-            at += 1
+                before = token
+            each.append(token)
         elif token == 16:
-            run = 3 + bits.read(2)
-            out.update(dict.fromkeys(range(at, at + run), before))
-            at += run
+            each += [before] * (3 + (word >> size & 3))
+            size += 2
+        elif token == 17:
+            each += [0] * (3 + (word >> size & 7))
+            size += 3
         else:
-            at += 3 + bits.read(3) if token == 17 else 11 + bits.read(7)
-    if at > alphabet or bits.at > 8 * len(bits.data):
+            each += [0] * (11 + (word >> size & 127))
+            size += 7
+        word >>= size
+        held -= size
+        bits.at += size
+    if len(each) > alphabet or bits.at > 8 * len(bits.data):
         raise FormatError("code lengths run over")
-    return Code(out)
+    lengths = np.array(each, np.int64)
+    symbols = np.flatnonzero(lengths)
+    return Code(symbols, lengths[symbols])
 
 
 def _prefix_value(bits: Bits, symbol: int) -> int:
@@ -158,29 +205,71 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_size = (1 << cache_bits) if cache_bits else 0
     alphabets = (256 + LENGTHS + cache_size, 256, 256, 256, 40)
     codes = [[_read_code(bits, a) for a in alphabets] for _ in range(groups)]
-    if groups == 1 and not cache_bits and all(c.flat for c in codes[0][:4]) and codes[0][0].symbols[-1] < 256:
-        return _flat_pixels(bits, codes[0], width, height)
+    deep = sum(c.longest for c in codes[0][:4])
+    if groups == 1 and not deep and codes[0][0].first < 256:  # every pixel is the one that takes no bits
+        green, red, blue, alpha = (c.first for c in codes[0][:4])
+        return np.full((height, width), alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
+    if groups == 1 and deep <= 48:
+        return _one_group(bits, codes[0], width, height, cache_bits)
     return _pixels(bits, codes, width, height, meta, meta_bits, cache_bits)
 
 
-def _flat_pixels(bits: Bits, codes: list[Code], width: int, height: int) -> np.ndarray:
-    size = sum(c.longest for c in codes[:4])
-    n = width * height
-    if bits.at + n * size > 8 * len(bits.data):
+def _one_group(bits: Bits, group: list[Code], width: int, height: int, cache_bits: int) -> np.ndarray:
+    """Pixels under one group of codes: a literal takes one look at the stream."""
+    total = width * height
+    data = bits.data[bits.at >> 3 :] + b"\0" * 16
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), 8)[:-1]
+    look = (np.ascontiguousarray(rows).view(np.uint64)[:, 0] & np.uint64((1 << 60) - 1)).tolist()
+    end = 8 * (len(data) - 16)
+    greens, reds, blues, alphas = (c.table(at) for c, at in zip(group, (0, 16, 0, 24)))
+    green_mask, red_mask, blue_mask, alpha_mask = (len(t) - 1 for t in (greens, reds, blues, alphas))
+    cache = [0] * (1 << cache_bits) if cache_bits else []
+    back = 32 - cache_bits
+    out: list[int] = []
+    put = out.append
+    p, stored = bits.at & 7, 0
+    inner = Bits(data)
+    look += [0] * 8
+    while len(out) < total:
+        word = look[p >> 3] >> (p & 7)
+        code = greens[word & green_mask]
+        symbol = code >> 4
+        n = code & 15
+        if symbol < 256:
+            word >>= n
+            red = reds[word & red_mask]
+            word >>= red & 15
+            blue = blues[word & blue_mask]
+            alpha = alphas[word >> (blue & 15) & alpha_mask]
+            p += n + (red & 15) + (blue & 15) + (alpha & 15)
+            if p > end:
+                raise FormatError("the stream ends early")
+            put(alpha >> 4 | red >> 4 | symbol << 8 | blue >> 4)
+        elif symbol < 256 + LENGTHS:
+            inner.at = p + n
+            run = _prefix_value(inner, symbol - 256)
+            far = _prefix_value(inner, group[4].read(inner))
+            p = inner.at
+            if p > end:
+                raise FormatError("the stream ends early")
+            far = far - len(NEAR) if far > len(NEAR) else max(1, NEAR[far - 1][0] + NEAR[far - 1][1] * width)
+            at = len(out)
+            if far > at or at + run > total:
+                raise FormatError("a reference leaves the image")
+            piece = out[at - far : at - far + run]
+            out += (piece * (run // far + 1))[:run] if far < run else piece
+        else:
+            p += n
+            if p > end:
+                raise FormatError("the stream ends early")
+            for pixel in out[stored:]:
+                cache[(CACHE_MULTIPLIER * pixel & 0xFFFFFFFF) >> back] = pixel
+            stored = len(out)
+            put(cache[symbol - 256 - LENGTHS])
+    bits.at += p - (bits.at & 7)
+    if bits.at > 8 * len(bits.data):
         raise FormatError("the stream ends early")
-    pixels = np.zeros(n, np.uint32)
-    lo = bits.at >> 3
-    raw = np.frombuffer(bits.data, np.uint8, (bits.at + n * size + 7) // 8 - lo, lo)
-    flags = np.unpackbits(raw, bitorder="little")[bits.at & 7 :][: n * size].reshape(n, size)
-    at = 0
-    for code, shift in zip(codes[:4], (8, 16, 0, 24)):
-        value = np.zeros(n, np.uint16)
-        for k in range(at, at + code.longest):
-            value = value << 1 | flags[:, k]
-        pixels |= np.array(code.symbols, np.uint32)[value] << np.uint32(shift)
-        at += code.longest
-    bits.at += n * size
-    return pixels.reshape(height, width)
+    return np.array(out, np.uint32).reshape(height, width)
 
 
 def _pixels(bits, codes, width, height, meta, meta_bits, cache_bits) -> np.ndarray:
@@ -275,7 +364,17 @@ def _invert_predictor(pixels: np.ndarray, modes: np.ndarray, size_bits: int) ->
     modes = (modes >> 8) & 15
     out[0, 0, 3] += 255
     out[0] = np.cumsum(out[0], axis=0) & 255  # the first row is predicted from the left
+    size = 1 << size_bits
+    plain = {k for k in range(len(modes)) if not modes[k].any()}
+    for k in plain:  # tiles of mode 0 only: their pixels lean on none but the first column
+        rows = slice(max(1, k * size), (k + 1) * size)
+        out[rows, 1:, 3] = (out[rows, 1:, 3] + 255) & 255
     for y in range(1, height):
+        if y >> size_bits in plain:
+            if not y & (size - 1) or y == 1:
+                rows = slice(y - 1, ((y >> size_bits) + 1) * size)
+                out[rows, 0] = np.cumsum(out[rows, 0], axis=0) & 255
+            continue
         row, above = out[y], out[y - 1]
         row[0] = (row[0] + above[0]) & 255
         strip = modes[y >> size_bits]
@@ -286,8 +385,9 @@ def _invert_predictor(pixels: np.ndarray, modes: np.ndarray, size_bits: int) ->
                 continue
             if mode == 1:
                 row[lo:hi] = (np.cumsum(row[lo:hi], axis=0) + row[lo - 1]) & 255
-            elif mode in (2, 4, 8):
-                row[lo:hi] = (row[lo:hi] + _predict(mode, None, above[lo:hi], None, above[lo - 1 : hi - 1])) & 255
+            elif mode in (0, 2, 3, 4, 8, 9):
+                right = np.concatenate([above[lo + 1 : hi + 1], row[:1]])[: hi - lo] if mode in (3, 9) else None
+                row[lo:hi] = (row[lo:hi] + _predict(mode, None, above[lo:hi], right, above[lo - 1 : hi - 1])) & 255
             else:
                 for x in range(lo, hi):
                     right = above[x + 1] if x + 1 < width else row[0]
@@ -296,6 +396,8 @@ def _invert_predictor(pixels: np.ndarray, modes: np.ndarray, size_bits: int) ->
 
 
 def _invert_colour(pixels: np.ndarray, elements: np.ndarray, size_bits: int) -> np.ndarray:
+    if not (elements & np.uint32(0xFFFFFF)).any():
+        return pixels
     height, width = pixels.shape
     grid = _channels(elements).view(np.int8)
     grid = grid[np.arange(height)[:, None] >> size_bits, np.arange(width)[None, :] >> size_bits].astype(np.int32)
@@ -382,88 +484,405 @@ def decode(data: bytes) -> np.ndarray:
 
 # -- writing ------------------------------------------------------------------
 
-
-def _bits_of(value: int, n: int) -> list[int]:
-    return [value >> k & 1 for k in range(n)]
-
-
-def _write_flat_code(symbols: np.ndarray, size: int, alphabet: int) -> list[int]:
-    """Bits that declare a flat code over sorted ``symbols`` (2 ** size of them)."""
-    if not size:
-        return [1, 0, 1, *_bits_of(int(symbols[0]), 8)]
-    if size == 1:
-        return [1, 1, 1, *_bits_of(int(symbols[0]), 8), *_bits_of(int(symbols[1]), 8)]
-    # tokens: the length and both long runs take two bits, a short zero run and a zero three
-    word = {size: [0, 0], 16: [0, 1], 18: [1, 0], 0: [1, 1, 0], 17: [1, 1, 1]}
-    declared = {size: 2, 16: 2, 18: 2, 0: 3, 17: 3}
-    last = max(k for k, s in enumerate(CODE_ORDER) if s in declared)
-    out = [0, *_bits_of(last + 1 - 4, 4)]
-    for s in CODE_ORDER[: last + 1]:
-        out += _bits_of(declared.get(s, 0), 3)
-    out.append(0)
-    used = symbols.tolist()
-    at = 0
-    k = 0
-    while at < alphabet:
-        here = used[k] if k < len(used) else alphabet
-        gap = here - at
-        while gap:
-            if gap >= 11:
-                run = min(gap, 138)
-                out += word[18] + _bits_of(run - 11, 7)
-            elif gap >= 3:
-                run = gap
-                out += word[17] + _bits_of(run - 3, 3)
+#: Longest code written: small tables, and a literal fits one look.
+DEEPEST = 10
+#: Modes that the writer chooses among: their inverse needs no loop over pixels.
+MODES = (0, 1, 2, 4)
+CACHE_BITS = 8
+MATCH = 4  # pixels a back-reference replaces at least
+_REVERSED = _reversal(DEEPEST).astype(np.uint64)
+
+
+class Out:
+    """Least-significant-bit-first writer of (value, size) fields, given one by one or as arrays."""
+
+    def __init__(self):
+        self.values: list = []
+        self.sizes: list = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def put(self, value: int, size: int) -> None:
+        self.values.append(value)
+        self.sizes.append(size)
+
+    def extend(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        if self.values:
+            self.parts.append((np.array(self.values, np.uint64), np.array(self.sizes, np.uint8)))
+            self.values, self.sizes = [], []
+        self.parts.append((values, sizes))
+
+    def bytes(self) -> bytes:
+        self.extend(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+        values, sizes = (np.concatenate(x) for x in zip(*self.parts))
+        out, left = [], np.zeros(0, np.uint8)
+        for k in range(0, len(values), 1 << 14):
+            size = sizes[k : k + (1 << 14), None]
+            wide = int(size.max()) + 7 >> 3
+            each = np.unpackbits(values[k : k + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide], axis=1, bitorder="little")
+            flags = np.concatenate([left, each[np.arange(8 * wide, dtype=np.uint8) < size]])
+            whole = len(flags) & ~7
+            out.append(np.packbits(flags[:whole], bitorder="little").tobytes())
+            left = flags[whole:]
+        return b"".join([*out, np.packbits(left, bitorder="little").tobytes()])
+
+
+def _code_lengths(counts: np.ndarray, deepest: int = DEEPEST) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols that occur, their Huffman code lengths); counts are levelled until no code is too long."""
+    used = np.flatnonzero(counts)
+    n = len(used)
+    if n < 2:
+        return (used, np.ones(1, np.int64)) if n else (np.zeros(1, np.int64), np.ones(1, np.int64))
+    weights = counts[used]
+    while True:
+        order = np.argsort(weights, kind="stable")
+        w = weights[order].tolist()
+        parent = [0] * (2 * n - 1)
+        leaf, node = 0, n
+        w.append(1 << 62)  # stands for leaves that are used up
+        inner: list[int] = []
+        for k in range(n, 2 * n - 1):  # leaves and inner nodes both come by rising weight
+            if node >= k or w[leaf] <= inner[node - n]:
+                total, parent[leaf], leaf = w[leaf], k, leaf + 1
             else:
-                run = 1
-                out += word[0]
-            gap -= run
-        at = here
-        if here == alphabet:
-            break
-        end = k + 1
-        while end < len(used) and used[end] == used[end - 1] + 1:
-            end += 1
-        run = end - k
-        out += word[size]
-        left = run - 1
-        while left:
-            if left >= 3:
-                step = min(left, 6)
-                out += word[16] + _bits_of(step - 3, 2)
+                total, parent[node], node = inner[node - n], k, node + 1
+            if node >= k or w[leaf] <= inner[node - n]:
+                total, parent[leaf], leaf = total + w[leaf], k, leaf + 1
             else:
-                step = 1
-                out += word[size]
-            left -= step
-        at += run
-        k = end
+                total, parent[node], node = total + inner[node - n], k, node + 1
+            inner.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth) <= deepest:
+            lengths = np.empty(n, np.int64)
+            lengths[order] = depth[:n]
+            return used, lengths
+        weights = (weights >> 1) + 1
+
+
+def _words(symbols: np.ndarray, lengths: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits as written, number of bits) of every symbol of a canonical code."""
+    words, sizes = np.zeros(alphabet, np.uint64), np.zeros(alphabet, np.uint8)
+    if len(symbols) > 1:
+        order = np.argsort(lengths, kind="stable")
+        room = 1 << (DEEPEST - lengths[order])
+        words[symbols[order]] = _REVERSED[np.cumsum(room) - room]  # left-justified codes
+        sizes[symbols] = lengths
+    return words, sizes
+
+
+@functools.lru_cache(maxsize=4)
+def _text_code(alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A fixed code for samples of text: its declaration (values, sizes) and its words (bits, sizes)."""
+    weight = np.ones(alphabet, np.int64)
+    weight[256:] = 3
+    weight[0x80:0xC0], weight[0xC3] = 8, 30
+    weight[32:127], weight[ord("A") : ord("Z") + 1] = 5, 10
+    for rank, letter in enumerate("etaoinshrdlucmfwypvbgkjqxz"):
+        weight[ord(letter)] = 500 // (1 + rank)
+    weight[[32, 46, 44, 10]] = 800, 70, 60, 30
+    out = Out()
+    words, sizes = _put_own_code(out, weight, alphabet)
+    out.extend(words[:0], sizes[:0])
+    return *(np.concatenate(x) for x in zip(*out.parts)), words, sizes
+
+
+def _put_code(out: Out, counts: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Declare a code for ``counts``; its words.  A code of their own is built where it saves a fifth."""
+    if alphabet in (256, 256 + LENGTHS):
+        used = counts > 0
+        if int(used.sum()) > 2:
+            values, sizes, words, size = _text_code(alphabet)
+            if _entropy(counts) + 6 * int(used.sum()) > 0.8 * (int(counts @ size) + int(sizes.sum())):
+                out.extend(values, sizes)
+                return words, size
+    return _put_own_code(out, counts, alphabet)
+
+
+def _put_own_code(out: Out, counts: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Declare a Huffman code for ``counts``; its words."""
+    symbols, lengths = _code_lengths(counts)
+    if len(symbols) <= 2 and symbols[-1] < 256:
+        for value, size in ((1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols.tolist())):
+            out.put(value, size)
+        return _words(symbols, lengths, alphabet)
+    each = np.zeros(alphabet, np.int64)
+    each[symbols] = lengths
+    ends = np.flatnonzero(np.append(each[1:] != each[:-1], True)) + 1
+    said: list[int] = []  # token | extra bits << 5 | their number << 12
+    for length, run in zip(each[ends - 1].tolist(), np.diff(ends, prepend=0).tolist()):
+        if length:
+            said.append(length)
+            run -= 1
+            while run >= 3:
+                said.append(16 | min(run, 6) - 3 << 5 | 2 << 12)
+                run -= min(run, 6)
+        else:
+            while run >= 11:
+                said.append(18 | min(run, 138) - 11 << 5 | 7 << 12)
+                run -= min(run, 138)
+            if run >= 3:
+                said.append(17 | run - 3 << 5 | 3 << 12)
+                run = 0
+        if run:
+            said += [length] * run
+    given = np.array(said)
+    tokens, extras, mores = given & 31, given >> 5 & 127, given >> 12
+    inner = _code_lengths(np.bincount(tokens, minlength=19), 7)
+    length_of = dict(zip(*(x.tolist() for x in inner)))
+    last = max(max(k for k, s in enumerate(CODE_ORDER) if s in length_of) + 1, 4)
+    head = last - 4 << 1
+    for k, s in enumerate(CODE_ORDER[:last]):
+        head |= length_of.get(s, 0) << 5 + 3 * k
+    out.put(head, 5 + 3 * last)  # and a zero bit: all lengths are given
+    out.put(0, 1)
+    words, sizes = _words(*inner, 19)
+    size = sizes[tokens]
+    out.extend(words[tokens] | extras.astype(np.uint64) << size.astype(np.uint64), size + mores.astype(np.uint8))
+    return _words(symbols, lengths, alphabet)
+
+
+def _split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra bits, their number) of lengths or distances."""
+    x = np.maximum(values.astype(np.int64) - 1, 0)
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    more = np.maximum(high - 1, 0)
+    symbol = np.where(x < 4, x, 2 * high + (x >> more & 1))
+    more = np.where(x < 4, 0, more)
+    return symbol, (x & ((1 << more) - 1)).astype(np.uint64), more.astype(np.uint8)
+
+
+def _matches(flat: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """(positions, lengths, distances) of back-references, left to right, each to the last place of its next pixels."""
+    starts: list[int] = []
+    runs: list[int] = []
+    fars: list[int] = []
+    n = len(flat)
+    if n <= MATCH:
+        return starts, runs, fars
+    key = flat[: n - MATCH + 1].astype(np.uint64)
+    for k in range(1, MATCH):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + flat[k : n - MATCH + 1 + k]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    later = order[1:][same]
+    if not later.size:
+        return starts, runs, fars
+    rank = np.argsort(later)
+    before = order[:-1][same][rank].tolist()
+    free = 0
+    for c, j in zip(later[rank].tolist(), before):
+        if c < free:
+            continue
+        run, step = 0, 16
+        while run < 4_096:
+            differ = flat[c + run : c + run + step] != flat[j + run : min(n, j + run + step)][: max(0, n - c - run)]
+            if differ.any():
+                run += int(differ.argmax())
+                break
+            run += len(differ)
+            if c + run >= n:
+                break
+            step = min(2 * step, 4_096 - run)
+        if run >= MATCH:
+            starts.append(c)
+            runs.append(run)
+            fars.append(c - j)
+            free = c + run
+    return starts, runs, fars
+
+
+def _entropy(counts: np.ndarray) -> float:
+    """Bits that an ideal code spends on symbols that occur so often."""
+    held = counts[counts > 0].astype(np.float64)
+    return float(held.sum() * np.log2(held.sum()) - (held * np.log2(held)).sum()) if held.size else 0.0
+
+
+def _cached(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each pixel, whether the cache holds the pixel when its turn comes)."""
+    key = ((flat.astype(np.uint64) * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)).astype(np.uint16)
+    order = np.argsort(key, kind="stable")
+    hit = np.zeros(len(flat), bool)
+    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (flat[order[1:]] == flat[order[:-1]])
+    return key, hit
+
+
+def _near_codes(width: int) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for k, (x, y) in enumerate(NEAR):
+        if x + y * width > 0:
+            out.setdefault(x + y * width, k + 1)
+    return out
+
+
+def _put_image(out: Out, pixels: np.ndarray, main: bool) -> None:
+    """An entropy-coded image: references, cache codes where they pay, literals."""
+    flat = np.ascontiguousarray(pixels).ravel()
+    if not main and (flat == flat[0]).all():  # codes of one symbol each: pixels take no bits
+        out.put(0, 1)
+        for symbol in (int(flat[0]) >> 8 & 255, int(flat[0]) >> 16 & 255, int(flat[0]) & 255, int(flat[0]) >> 24, 0):
+            out.put(5 | symbol << 3, 11)
+        return
+    starts, runs, fars = _matches(flat)
+    literal = np.ones(len(flat), bool)
+    for c, run in zip(starts, runs):
+        literal[c : c + run] = False
+    at = np.flatnonzero(literal)
+    shifts = (8, 16, 0, 24)
+    planes = [(flat[at] >> np.uint32(shift) & np.uint32(255)).astype(np.int64) for shift in shifts]
+    counts = [np.bincount(plane, minlength=256) for plane in planes]
+    cache_size, held = 0, np.zeros(len(at), bool)
+    if main and len(at) > 64:
+        key, hit = _cached(flat)
+        hit = hit[at]
+        if hit.any():
+            rest = [np.bincount(plane[~hit], minlength=256) for plane in planes]
+            keys = np.bincount(key[at][hit], minlength=1 << CACHE_BITS)
+            spent = _entropy(np.concatenate([rest[0], keys])) + sum(map(_entropy, rest[1:])) + 4 * int((keys > 0).sum())
+            if spent < 0.9 * sum(map(_entropy, counts)):
+                cache_size, held, counts = 1 << CACHE_BITS, hit, rest
+    near = _near_codes(pixels.shape[1])
+    run_symbol, run_extra, run_more = _split(np.array(runs, np.int64))
+    far_symbol, far_extra, far_more = _split(np.array([near.get(d, d + len(NEAR)) for d in fars], np.int64))
+    greens = [counts[0], np.bincount(run_symbol, minlength=LENGTHS)]
+    if cache_size:
+        greens.append(np.bincount(key[at][held], minlength=cache_size))
+    out.put(1 if cache_size else 0, 1)
+    if cache_size:
+        out.put(CACHE_BITS, 4)
+    if main:
+        out.put(0, 1)
+    words, sizes = zip(
+        *[_put_code(out, c, a) for c, a in zip([np.concatenate(greens), *counts[1:], np.bincount(far_symbol, minlength=40)], (256 + LENGTHS + cache_size, 256, 256, 256, 40))]
+    )
+    head = planes[0]
+    if cache_size:
+        head = np.where(held, 256 + LENGTHS + key[at], head)
+    value, size = words[0][head], sizes[0][head].astype(np.uint64)
+    for code, length, plane in zip(words[1:4], sizes[1:4], planes[1:]):
+        value |= np.where(held, np.uint64(0), code[plane] << size)
+        size += np.where(held, np.uint64(0), length[plane].astype(np.uint64))
+    if starts:
+        ref, n = words[0][256 + run_symbol], sizes[0][256 + run_symbol].astype(np.uint64)
+        for code, length in ((run_extra, run_more), (words[4][far_symbol], sizes[4][far_symbol]), (far_extra, far_more)):
+            ref = ref | code << n
+            n = n + length.astype(np.uint64)
+        order = np.argsort(np.concatenate([at, starts]), kind="stable")
+        value, size = np.concatenate([value, ref])[order], np.concatenate([size, n])[order]
+    out.extend(value, size.astype(np.uint8))
+
+
+def _spread(samples: np.ndarray, where: np.ndarray, cells: int) -> np.ndarray:
+    """Bits that the samples of each cell spend, by the collision entropy of their counts."""
+    counts = np.bincount(where + samples, minlength=256 * cells).reshape(cells, 256)
+    total = counts.sum(1)
+    return total * np.log2(np.maximum(total * total, 1) / np.maximum((counts * counts).sum(1), 1))
+
+
+def _predicted(rgb: np.ndarray, mode: int) -> np.ndarray:
+    """What a mode predicts for samples int16 [h, w, 3] away from the first row and column, which stay as they are."""
+    out = np.zeros_like(rgb)
+    if mode:
+        above = rgb[:-1]
+        right = None
+        if mode in (3, 9):
+            right = np.empty_like(rgb[1:])
+            right[:, :-1], right[:, -1] = above[:, 1:], rgb[1:, 0]
+            right = right[:, 1:]
+        out[1:, 1:] = _predict(mode, rgb[1:, :-1], above[:, 1:], right, above[:, :-1])
     return out
 
 
+def _put_predictor(out: Out, rgb: np.ndarray) -> np.ndarray:
+    """Choose and write modes by tile; what is left of samples int16 [h, w, 3]."""
+    height, width, _ = rgb.shape
+    size_bits = 5 if height <= 1_024 else 9
+    across = (width + (1 << size_bits) - 1) >> size_bits
+    tile = (np.arange(height)[:, None] >> size_bits) * across + (np.arange(width)[None, :] >> size_bits)
+    tiles = int(tile[-1, -1]) + 1
+    where = (256 * (3 * tile[..., None] + np.arange(3))).ravel()
+    costs = [_spread(((rgb - _predicted(rgb, mode)) & 255).ravel(), where, 3 * tiles).reshape(tiles, 3).sum(1) for mode in MODES]
+    best = np.array(MODES)[np.argmin(costs, axis=0)]
+    left = rgb.copy()
+    for mode in {*best.tolist()} - {0}:
+        inside = (best == mode)[tile]
+        left[inside] -= _predicted(rgb, mode)[inside]
+    left[1:, 0] = rgb[1:, 0] - rgb[:-1, 0]
+    left[0, 1:] = rgb[0, 1:] - rgb[0, :-1]
+    left[0, 0] = rgb[0, 0]
+    out.put(1, 1)
+    out.put(0, 2)
+    out.put(size_bits - 2, 3)
+    _put_image(out, (np.uint32(BLACK) | best.astype(np.uint32) << np.uint32(8)).reshape(-1, across), False)
+    return left & 255
+
+
+def _put_colour(out: Out, rgb: np.ndarray) -> np.ndarray:
+    """Choose and write the multipliers that shorten the code; what is left of samples [h, w, 3]."""
+    height, width, _ = rgb.shape
+    red, green, blue = (rgb[..., c].astype(np.int8).astype(np.int32) for c in range(3))
+
+    cells = np.zeros(1, np.int64)
+
+    def choose(of: np.ndarray, by: np.ndarray) -> tuple[int, np.ndarray]:
+        shared, varies, own = float((by * of).sum()), float((by * by).sum()), float((of * of).sum())
+        if 8 * shared * shared < varies * own or not shared:
+            return 0, of
+        k = int(np.clip(np.rint(32 * shared / varies), -128, 127))
+        less = of - (k * by >> 5)
+        if k and _spread((less & 255).ravel(), cells, 1)[0] < _spread((of & 255).ravel(), cells, 1)[0]:
+            return k, less
+        return 0, of
+
+    to_red, less_red = choose(red, green)
+    to_blue, less_blue = choose(blue, green)
+    red_blue, less_blue = choose(less_blue, red)
+    size_bits = 9
+    tiles = ((height + 511) >> size_bits, (width + 511) >> size_bits)
+    element = BLACK | (red_blue & 255) << 16 | (to_blue & 255) << 8 | (to_red & 255)
+    out.put(1, 1)
+    out.put(1, 2)
+    out.put(size_bits - 2, 3)
+    _put_image(out, np.full(tiles, element, np.uint32), False)
+    return np.stack([less_red & 255, rgb[..., 1], less_blue & 255], 2)
+
+
+def _put_palette(out: Out, colours: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Write a palette; the pixels of bundled indices."""
+    height, width = index.shape
+    pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+    out.put(1, 1)
+    out.put(3, 2)
+    out.put(len(colours) - 1, 8)
+    steps = _channels(colours[None, :]).astype(np.int16)
+    steps[:, 1:] -= steps[:, :-1].copy()
+    _put_image(out, _packed((steps & 255).astype(np.uint8)), False)
+    wide = -(-width >> pack) if pack else width
+    padded = np.zeros((height, wide << pack), np.uint32)
+    padded[:, :width] = index
+    depth = 8 >> pack
+    bundled = (padded.reshape(height, wide, 1 << pack) << (np.arange(1 << pack, dtype=np.uint32) * depth)).sum(2).astype(np.uint32)
+    return np.uint32(BLACK) | bundled << np.uint32(8)
+
+
 def encode_rgb(samples: np.ndarray) -> bytes:
     """VP8L content for uint8 [height, width, 3] of red, green and blue."""
     height, width, _ = samples.shape
-    head = [*_bits_of(0x2F, 8), *_bits_of(width - 1, 14), *_bits_of(height - 1, 14), 0, 0, 0, 0]
-    head += [0, 0, 0]  # no transform, no cache, one group
-    flat = samples.reshape(-1, 3)
-    planes = []
-    for channel, alphabet in ((1, 256 + LENGTHS), (0, 256), (2, 256)):
-        plane = flat[:, channel]
-        used = np.bincount(plane, minlength=256) > 0
-        size = int(used.sum() - 1).bit_length()
-        spare = (1 << size) - int(used.sum())
-        if spare:
-            used[np.flatnonzero(~used)[:spare]] = True
-        symbols = np.flatnonzero(used)
-        head += _write_flat_code(symbols, size, alphabet)
-        if size:
-            rank = np.zeros(256, np.uint8)
-            rank[symbols] = np.arange(len(symbols))
-            planes.append(np.unpackbits(rank[plane][:, None], axis=1)[:, 8 - size :])
-    head += [1, 0, 1, *_bits_of(255, 8)]  # alpha: opaque
-    head += [1, 0, 0, 0]  # distances: unused
-    body = [np.array(head, np.uint8), *([np.concatenate(planes, 1).ravel()] if planes else [])]
-    return np.packbits(np.concatenate(body), bitorder="little").tobytes()
+    out = Out()
+    for value, size in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4)):
+        out.put(value, size)
+    plane = samples.astype(np.uint32)
+    pixels = np.uint32(BLACK) | plane[..., 0] << np.uint32(16) | plane[..., 1] << np.uint32(8) | plane[..., 2]
+    colours = np.sort(pixels, axis=None)
+    colours = colours[np.append(True, colours[1:] != colours[:-1])]
+    if len(colours) <= 256 and 3 * len(colours) <= pixels.size:
+        pixels = _put_palette(out, colours, np.searchsorted(colours, pixels))
+    else:
+        rest = _put_colour(out, _put_predictor(out, samples.astype(np.int16))).astype(np.uint32)
+        pixels = rest[..., 0] << np.uint32(16) | rest[..., 1] << np.uint32(8) | rest[..., 2]
+    out.put(0, 1)
+    _put_image(out, pixels, True)
+    return out.bytes()
 
 
 def _chunk(name: bytes, content: bytes) -> bytes:
@@ -472,18 +891,17 @@ def _chunk(name: bytes, content: bytes) -> bytes:
 
 def store(payload: bytes) -> bytes:
     """A WebP file (or several, appended) holding ``payload``."""
-    most = SIDE * (SIDE // 64) * UNIT
-    if len(payload) > most:
-        return store(payload[:most]) + store(payload[most:])
-    units = max(1, -(-len(payload) // UNIT))
-    wide = -(-units // SIDE)
-    rows = -(-units // wide)
-    samples = np.zeros(rows * wide * UNIT, np.uint8)
-    samples[: len(payload)] = np.frombuffer(payload, np.uint8)
-    image = encode_rgb(samples.reshape(rows, wide * 64, 3))
-    frame = b"\0" * 4 + (wide * 64 - 1).to_bytes(3, "little") + (rows - 1).to_bytes(3, "little")
-    body = b"WEBP" + _chunk(b"VP8X", frame) + _chunk(b"VP8L", image) + _chunk(b"TXLN", struct.pack("<Q", len(payload)))
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+    out = []
+    for begin in range(0, max(1, len(payload)), SIDE * UNIT):
+        piece = payload[begin : begin + SIDE * UNIT]
+        rows = max(1, -(-len(piece) // UNIT))
+        samples = np.zeros(rows * UNIT, np.uint8)
+        samples[: len(piece)] = np.frombuffer(piece, np.uint8)
+        image = encode_rgb(samples.reshape(rows, 64, 3))
+        frame = b"\0" * 4 + (63).to_bytes(3, "little") + (rows - 1).to_bytes(3, "little")
+        body = b"WEBP" + _chunk(b"VP8X", frame) + _chunk(b"VP8L", image) + _chunk(b"TXLN", struct.pack("<Q", len(piece)))
+        out.append(b"RIFF" + struct.pack("<I", len(body)) + body)
+    return b"".join(out)
 
 
 def fetch(data: bytes) -> tuple[bytes, list[np.ndarray]]:
@@ -507,12 +925,14 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 
 def features(images: list[np.ndarray]) -> str:
     """Size, mean and spread of each channel, and sample entropy, as text."""
-    flat = np.concatenate([i.reshape(-1, 3) for i in images])
-    counts = np.bincount(flat.ravel(), minlength=256)
-    p = counts[counts > 0] / flat.size
-    mean, spread = flat.mean(0), flat.std(0)
-    size = "+".join(f"{i.shape[1]}x{i.shape[0]}" for i in images)
-    return f"{size};mean={','.join(f'{v:.4f}' for v in mean)};std={','.join(f'{v:.4f}' for v in spread)};entropy={abs(float(-(p * np.log2(p)).sum())):.4f}"
+    value = np.arange(256)
+    counts = np.stack([sum(np.bincount(i[..., c].ravel(), minlength=256) for i in images) for c in range(3)])
+    size = counts.sum(1)
+    mean = counts @ value / size
+    spread = np.sqrt(np.maximum(counts @ (value * value) / size - mean * mean, 0))
+    p = counts.sum(0)[counts.sum(0) > 0] / counts.sum()
+    shape = "+".join(f"{i.shape[1]}x{i.shape[0]}" for i in images)
+    return f"{shape};mean={','.join(f'{v:.4f}' for v in mean)};std={','.join(f'{v:.4f}' for v in spread)};entropy={abs(float(-(p * np.log2(p)).sum())):.4f}"
 
 
 def media(df: DataFrame, key: str = "doc_id", text: str = "text", keep_bytes: bool = False) -> DataFrame:

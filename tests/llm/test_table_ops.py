@@ -418,6 +418,160 @@ def test_webp_store():
             webp.decode(bad)
 
 
+class PlainReader:
+    """A second decoder, bit by bit and pixel by pixel, sharing nothing with the module under test."""
+
+    def __init__(self, data):
+        self.bits = "".join(f"{b:08b}"[::-1] for b in data)
+        self.at = 0
+
+    def take(self, n):
+        part = self.bits[self.at : self.at + n]
+        assert len(part) == n
+        self.at += n
+        return int(part[::-1] or "0", 2)
+
+    def code(self, alphabet):
+        if self.take(1):
+            n = self.take(1) + 1
+            used = [self.take(8 if self.take(1) else 1)]
+            used += [self.take(8)] if n == 2 else []
+            return {"" if n == 1 else str(k): s for k, s in enumerate(sorted(used))}
+        order = [17, 18, 0, 1, 2, 3, 4, 5, 16, *range(6, 16)]
+        small = [0] * 19
+        for s in order[: self.take(4) + 4]:
+            small[s] = self.take(3)
+        inner, lengths, last = self.canonical(small), [], 8
+        left = 2 + self.take(2 + 2 * self.take(3)) if self.take(1) else alphabet
+        while len(lengths) < alphabet and left:
+            left -= 1
+            s = self.symbol(inner)
+            last = s if 0 < s < 16 else last
+            lengths += [s] if s < 16 else [last] * (3 + self.take(2)) if s == 16 else [0] * (3 + self.take(3)) if s == 17 else [0] * (11 + self.take(7))
+        return self.canonical(lengths)
+
+    @staticmethod
+    def canonical(lengths):
+        used = sorted((n, s) for s, n in enumerate(lengths) if n)
+        if len(used) == 1:
+            return {"": used[0][1]}
+        out, code, size = {}, -1, 0
+        for n, s in used:
+            code = code + 1 << n - size
+            size = n
+            out[f"{code:0{n}b}"] = s
+        return out
+
+    def symbol(self, code):
+        word = ""
+        while word not in code:
+            word += self.bits[self.at]
+            self.at += 1
+        return code[word]
+
+    def number(self, s):
+        return s + 1 if s < 4 else (2 + s % 2 << (s - 2 >> 1)) + self.take(s - 2 >> 1) + 1
+
+    def image(self, w, h, main):
+        cache_bits = self.take(4) if self.take(1) else 0
+        assert not main or not self.take(1)
+        codes = [self.code(280 + (1 << cache_bits if cache_bits else 0))] + [self.code(n) for n in (256, 256, 256, 40)]
+        near = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
+        out, cache, self.refs, self.cached = [], {}, 0, 0
+
+        def add(p):
+            out.append(p)
+            if cache_bits:
+                cache[(p * 0x1E35A7BD & 0xFFFFFFFF) >> 32 - cache_bits] = p
+
+        while len(out) < w * h:
+            s = self.symbol(codes[0])
+            if s < 256:
+                r, b, a = (self.symbol(c) for c in codes[1:4])
+                add(a << 24 | r << 16 | s << 8 | b)
+            elif s < 280:
+                n, d = self.number(s - 256), self.number(self.symbol(codes[4]))
+                d = d - 120 if d > 120 else max(1, near[d - 1][0] + near[d - 1][1] * w)
+                self.refs += 1
+                for _ in range(n):
+                    add(out[-d])
+            else:
+                self.cached += 1
+                add(cache[s - 280])
+        return out
+
+    def picture(self):
+        assert self.take(8) == 0x2F
+        w, h = self.take(14) + 1, self.take(14) + 1
+        self.take(4)
+        undo, wide = [], w
+        while self.take(1):
+            kind = self.take(2)
+            if kind < 2:
+                bits = self.take(3) + 2
+                across = (wide + (1 << bits) - 1) >> bits
+                undo.append((kind, bits, across, self.image(across, (h + (1 << bits) - 1) >> bits, False)))
+            else:
+                assert kind == 3
+                n = self.take(8) + 1
+                steps, table = self.image(n, 1, False), [0]
+                for p in steps:
+                    table.append(sum(((table[-1] >> k & 255) + (p >> k & 255) & 255) << k for k in (0, 8, 16, 24)))
+                pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+                undo.append((3, pack, wide, table[1:]))
+                wide = wide + (1 << pack) - 1 >> pack
+        self.kinds = [u[0] for u in undo]
+        px = self.image(wide, h, True)
+        split = lambda p: [p >> k & 255 for k in (24, 16, 8, 0)]
+        signed = lambda v: v - 256 if v > 127 else v
+        for kind, bits, across, data in reversed(undo):
+            if kind == 3:
+                depth = 8 >> bits
+                px = [data[(px[y * wide + (x >> bits)] >> 8 & 255) >> (x % (1 << bits)) * depth & (1 << depth) - 1] for y in range(h) for x in range(w)]
+            elif kind == 1:
+                for i, p in enumerate(px):
+                    a, r, g, b = split(p)
+                    _, rb, gb, gr = split(data[(i // w >> bits) * across + (i % w >> bits)])
+                    r = r + (signed(gr) * signed(g) >> 5) & 255
+                    b = b + (signed(gb) * signed(g) >> 5) + (signed(rb) * signed(r) >> 5) & 255
+                    px[i] = a << 24 | r << 16 | g << 8 | b
+            else:
+                for i, p in enumerate(px):
+                    x, y = i % w, i // w
+                    mode = data[(y >> bits) * across + (x >> bits)] >> 8 & 15
+                    by = 0xFF000000 if not i else px[i - 1] if not y else px[i - w] if not x else {0: 0xFF000000, 1: px[i - 1], 2: px[i - w], 4: px[i - w - 1]}[mode]
+                    px[i] = sum((u + v & 255) << k for u, v, k in zip(split(p), split(by), (24, 16, 8, 0)))
+        return w, h, px
+
+
+def test_webp_store_by_a_second_decoder():
+    """The stored form uses what the method names, and another decoder reads the same pixels."""
+    r = random.Random(11)
+    prose = " ".join("".join(r.choices("etaoinshrdlu", k=r.randint(1, 9))) for _ in range(700)).encode()
+    raws = [b" " * 192, b"ab c" * 600, prose, prose + prose[: 192 * 8], bytes(r.choices(b"abc", k=4_000)), bytes((k // 192 * 7 + k % 3 * 90) % 256 for k in range(192 * 70)), bytes(range(256)) * 40, ("é日本 " * 900).encode()]
+    raws.append(b"".join(bytes([x, (x * 3) % 256, (x * 5) % 256]) for x in (r.randrange(256) for _ in range(2_000))))
+    raws.append(b"".join(r.choices([bytes(r.randrange(256) for _ in range(3)) for _ in range(400)], k=4_000)))
+    kinds, refs, cached = set(), 0, 0
+    for raw in raws:
+        payload, _ = webp.payload_of(raw.decode("latin-1"))
+        stored = webp.store(payload)
+        found, _ = webp.chunks(stored)
+        reader = PlainReader(found[b"VP8L"])
+        w, h, px = reader.picture()
+        assert b"".join(bytes([p >> 16 & 255, p >> 8 & 255, p & 255]) for p in px)[: len(payload)] == payload and all(p >> 24 == 255 for p in px)
+        assert (webp.decode(stored).ravel() == np.array(px, np.uint32)).all() and (w, h) == (64, max(1, -(-len(payload) // 192)))
+        kinds |= {*reader.kinds}
+        refs, cached = refs + reader.refs, cached + reader.cached
+    assert kinds == {0, 1, 3} and refs and cached
+
+
+def test_webp_many_rows():
+    """A payload of more than one image's rows, and code declarations that come again."""
+    raw = bytes(random.Random(3).choices(b"some text of letters  ", k=192 * 16_500))
+    stored = webp.store(raw)
+    assert webp.fetch(stored)[0] == raw and stored.count(b"VP8L") >= 2
+
+
 def test_webp_frame(spark):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "abc"), (4, "x" * 70_000), (None, "é" * 96)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("feature", F.lit(1))
