@@ -230,42 +230,58 @@ def _one_group(bits: Bits, group: list[Code], width: int, height: int, cache_bit
     p, stored = bits.at & 7, 0
     inner = Bits(data)
     look += [0] * 8
-    while len(out) < total:
-        word = look[p >> 3] >> (p & 7)
-        code = greens[word & green_mask]
-        symbol = code >> 4
-        n = code & 15
-        if symbol < 256:
-            word >>= n
-            red = reds[word & red_mask]
-            word >>= red & 15
-            blue = blues[word & blue_mask]
-            alpha = alphas[word >> (blue & 15) & alpha_mask]
-            p += n + (red & 15) + (blue & 15) + (alpha & 15)
+    base = sum(t[0] >> 4 for t in (reds, blues, alphas) if len(t) == 1)  # channels of one value take no bits
+    several = alpha_mask > 0 or (red_mask > 0) != (blue_mask > 0)
+    grey = not red_mask and not blue_mask
+    try:
+        while len(out) < total:
             if p > end:
                 raise FormatError("the stream ends early")
-            put(alpha >> 4 | red >> 4 | symbol << 8 | blue >> 4)
-        elif symbol < 256 + LENGTHS:
-            inner.at = p + n
-            run = _prefix_value(inner, symbol - 256)
-            far = _prefix_value(inner, group[4].read(inner))
-            p = inner.at
-            if p > end:
-                raise FormatError("the stream ends early")
-            far = far - len(NEAR) if far > len(NEAR) else max(1, NEAR[far - 1][0] + NEAR[far - 1][1] * width)
-            at = len(out)
-            if far > at or at + run > total:
-                raise FormatError("a reference leaves the image")
-            piece = out[at - far : at - far + run]
-            out += (piece * (run // far + 1))[:run] if far < run else piece
-        else:
-            p += n
-            if p > end:
-                raise FormatError("the stream ends early")
-            for pixel in out[stored:]:
-                cache[(CACHE_MULTIPLIER * pixel & 0xFFFFFFFF) >> back] = pixel
-            stored = len(out)
-            put(cache[symbol - 256 - LENGTHS])
+            for _ in range(total - len(out)):  # literals, up to the next other symbol
+                word = look[p >> 3] >> (p & 7)
+                code = greens[word & green_mask]
+                n = code & 15
+                symbol = code >> 4
+                if symbol > 255:
+                    break
+                if several:
+                    word >>= n
+                    red = reds[word & red_mask]
+                    word >>= red & 15
+                    blue = blues[word & blue_mask]
+                    alpha = alphas[word >> (blue & 15) & alpha_mask]
+                    p += n + (red & 15) + (blue & 15) + (alpha & 15)
+                    put(alpha >> 4 | red >> 4 | symbol << 8 | blue >> 4)
+                elif grey:
+                    p += n
+                    put(base | symbol << 8)
+                else:
+                    word >>= n
+                    red = reds[word & red_mask]
+                    blue = blues[word >> (red & 15) & blue_mask]
+                    p += n + (red & 15) + (blue & 15)
+                    put(base | red >> 4 | symbol << 8 | blue >> 4)
+            else:
+                break
+            if symbol < 256 + LENGTHS:
+                inner.at = p + n
+                run = _prefix_value(inner, symbol - 256)
+                far = _prefix_value(inner, group[4].read(inner))
+                p = inner.at
+                far = far - len(NEAR) if far > len(NEAR) else max(1, NEAR[far - 1][0] + NEAR[far - 1][1] * width)
+                at = len(out)
+                if far > at or at + run > total:
+                    raise FormatError("a reference leaves the image")
+                piece = out[at - far : at - far + run]
+                out += (piece * (run // far + 1))[:run] if far < run else piece
+            else:
+                p += n
+                for pixel in out[stored:]:
+                    cache[(CACHE_MULTIPLIER * pixel & 0xFFFFFFFF) >> back] = pixel
+                stored = len(out)
+                put(cache[symbol - 256 - LENGTHS])
+    except IndexError:
+        raise FormatError("the stream ends early") from None
     bits.at += p - (bits.at & 7)
     if bits.at > 8 * len(bits.data):
         raise FormatError("the stream ends early")
@@ -514,16 +530,15 @@ class Out:
     def bytes(self) -> bytes:
         self.extend(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
         values, sizes = (np.concatenate(x) for x in zip(*self.parts))
-        out, left = [], np.zeros(0, np.uint8)
-        for k in range(0, len(values), 1 << 14):
-            size = sizes[k : k + (1 << 14), None]
-            wide = int(size.max()) + 7 >> 3
-            each = np.unpackbits(values[k : k + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide], axis=1, bitorder="little")
-            flags = np.concatenate([left, each[np.arange(8 * wide, dtype=np.uint8) < size]])
-            whole = len(flags) & ~7
-            out.append(np.packbits(flags[:whole], bitorder="little").tobytes())
-            left = flags[whole:]
-        return b"".join([*out, np.packbits(left, bitorder="little").tobytes()])
+        ends = np.cumsum(sizes, dtype=np.int64)
+        begins = ends - sizes
+        place, shift = begins >> 6, (begins & 63).astype(np.uint64)
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        words = np.zeros(int(ends[-1] >> 6) + 2, np.uint64)
+        words[place[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = np.flatnonzero((begins & 63) + sizes > 64)  # one field at most runs into each next word
+        words[place[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+        return words.astype("<u8").tobytes()[: int(ends[-1]) + 7 >> 3]
 
 
 def _code_lengths(counts: np.ndarray, deepest: int = DEEPEST) -> tuple[np.ndarray, np.ndarray]:
@@ -590,17 +605,25 @@ def _text_code(alphabet: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def _put_code(out: Out, counts: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
     """Declare a code for ``counts``; its words.  A code of their own is built where it saves a fifth."""
     if alphabet in (256, 256 + LENGTHS):
-        used = counts > 0
-        if int(used.sum()) > 2:
+        used = np.count_nonzero(counts)
+        if used > 2:
             values, sizes, words, size = _text_code(alphabet)
-            if _entropy(counts) + 6 * int(used.sum()) > 0.8 * (int(counts @ size) + int(sizes.sum())):
+            if _entropy(counts) + 6 * used > 0.8 * (int(counts @ size) + int(sizes.sum())):
                 out.extend(values, sizes)
                 return words, size
     return _put_own_code(out, counts, alphabet)
 
 
+def _put_single(out: Out, symbol: int) -> None:
+    """Declare a code of one symbol, which takes no bits."""
+    out.put(5 | symbol << 3, 11)
+
+
 def _put_own_code(out: Out, counts: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
     """Declare a Huffman code for ``counts``; its words."""
+    if np.count_nonzero(counts) <= 1 and (only := int(counts.argmax())) < 256:
+        _put_single(out, only)
+        return np.zeros(alphabet, np.uint64), np.zeros(alphabet, np.uint8)
     symbols, lengths = _code_lengths(counts)
     if len(symbols) <= 2 and symbols[-1] < 256:
         for value, size in ((1, 1), (len(symbols) - 1, 1), (1, 1), *((s, 8) for s in symbols.tolist())):
@@ -707,6 +730,7 @@ def _cached(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, hit
 
 
+@functools.lru_cache(maxsize=64)
 def _near_codes(width: int) -> dict[int, int]:
     out: dict[int, int] = {}
     for k, (x, y) in enumerate(NEAR):
@@ -721,30 +745,32 @@ def _put_image(out: Out, pixels: np.ndarray, main: bool) -> None:
     if not main and (flat == flat[0]).all():  # codes of one symbol each: pixels take no bits
         out.put(0, 1)
         for symbol in (int(flat[0]) >> 8 & 255, int(flat[0]) >> 16 & 255, int(flat[0]) & 255, int(flat[0]) >> 24, 0):
-            out.put(5 | symbol << 3, 11)
+            _put_single(out, symbol)
         return
     starts, runs, fars = _matches(flat)
     literal = np.ones(len(flat), bool)
     for c, run in zip(starts, runs):
         literal[c : c + run] = False
     at = np.flatnonzero(literal)
-    shifts = (8, 16, 0, 24)
-    planes = [(flat[at] >> np.uint32(shift) & np.uint32(255)).astype(np.int64) for shift in shifts]
+    each = np.ascontiguousarray(flat[at].astype("<u4")).view(np.uint8).reshape(-1, 4)
+    planes = [each[:, k] for k in (1, 2, 0, 3)]  # green, red, blue, alpha
     counts = [np.bincount(plane, minlength=256) for plane in planes]
     cache_size, held = 0, np.zeros(len(at), bool)
-    if main and len(at) > 64:
+    if main and len(at) > 64:  # the cache is weighed where a quarter of the pixels would come from it
         key, hit = _cached(flat)
         hit = hit[at]
-        if hit.any():
+        if 4 * np.count_nonzero(hit) > len(hit):
             rest = [np.bincount(plane[~hit], minlength=256) for plane in planes]
             keys = np.bincount(key[at][hit], minlength=1 << CACHE_BITS)
             spent = _entropy(np.concatenate([rest[0], keys])) + sum(map(_entropy, rest[1:])) + 4 * int((keys > 0).sum())
             if spent < 0.9 * sum(map(_entropy, counts)):
                 cache_size, held, counts = 1 << CACHE_BITS, hit, rest
-    near = _near_codes(pixels.shape[1])
-    run_symbol, run_extra, run_more = _split(np.array(runs, np.int64))
-    far_symbol, far_extra, far_more = _split(np.array([near.get(d, d + len(NEAR)) for d in fars], np.int64))
-    greens = [counts[0], np.bincount(run_symbol, minlength=LENGTHS)]
+    far_counts, greens = np.zeros(40, np.int64), [counts[0], np.zeros(LENGTHS, np.int64)]
+    if starts:
+        near = _near_codes(pixels.shape[1])
+        run_symbol, run_extra, run_more = _split(np.array(runs, np.int64))
+        far_symbol, far_extra, far_more = _split(np.array([near.get(d, d + len(NEAR)) for d in fars], np.int64))
+        far_counts, greens[1] = np.bincount(far_symbol, minlength=40), np.bincount(run_symbol, minlength=LENGTHS)
     if cache_size:
         greens.append(np.bincount(key[at][held], minlength=cache_size))
     out.put(1 if cache_size else 0, 1)
@@ -753,15 +779,20 @@ def _put_image(out: Out, pixels: np.ndarray, main: bool) -> None:
     if main:
         out.put(0, 1)
     words, sizes = zip(
-        *[_put_code(out, c, a) for c, a in zip([np.concatenate(greens), *counts[1:], np.bincount(far_symbol, minlength=40)], (256 + LENGTHS + cache_size, 256, 256, 256, 40))]
+        *[_put_code(out, c, a) for c, a in zip([np.concatenate(greens), *counts[1:], far_counts], (256 + LENGTHS + cache_size, 256, 256, 256, 40))]
     )
     head = planes[0]
     if cache_size:
-        head = np.where(held, 256 + LENGTHS + key[at], head)
+        head = np.where(held, 256 + LENGTHS + key[at].astype(np.int64), head)
     value, size = words[0][head], sizes[0][head].astype(np.uint64)
     for code, length, plane in zip(words[1:4], sizes[1:4], planes[1:]):
-        value |= np.where(held, np.uint64(0), code[plane] << size)
-        size += np.where(held, np.uint64(0), length[plane].astype(np.uint64))
+        if not length.any():
+            continue
+        more, n = code[plane] << size, length[plane].astype(np.uint64)
+        if cache_size:
+            more[held], n[held] = 0, 0
+        value |= more
+        size += n
     if starts:
         ref, n = words[0][256 + run_symbol], sizes[0][256 + run_symbol].astype(np.uint64)
         for code, length in ((run_extra, run_more), (words[4][far_symbol], sizes[4][far_symbol]), (far_extra, far_more)):
@@ -774,63 +805,56 @@ def _put_image(out: Out, pixels: np.ndarray, main: bool) -> None:
 
 def _spread(samples: np.ndarray, where: np.ndarray, cells: int) -> np.ndarray:
     """Bits that the samples of each cell spend, by the collision entropy of their counts."""
-    counts = np.bincount(where + samples, minlength=256 * cells).reshape(cells, 256)
+    counts = np.bincount((where + samples).ravel(), minlength=256 * cells).reshape(cells, 256)
     total = counts.sum(1)
     return total * np.log2(np.maximum(total * total, 1) / np.maximum((counts * counts).sum(1), 1))
 
 
-def _predicted(rgb: np.ndarray, mode: int) -> np.ndarray:
-    """What a mode predicts for samples int16 [h, w, 3] away from the first row and column, which stay as they are."""
-    out = np.zeros_like(rgb)
-    if mode:
-        above = rgb[:-1]
-        right = None
-        if mode in (3, 9):
-            right = np.empty_like(rgb[1:])
-            right[:, :-1], right[:, -1] = above[:, 1:], rgb[1:, 0]
-            right = right[:, 1:]
-        out[1:, 1:] = _predict(mode, rgb[1:, :-1], above[:, 1:], right, above[:, :-1])
-    return out
-
-
 def _put_predictor(out: Out, rgb: np.ndarray) -> np.ndarray:
-    """Choose and write modes by tile; what is left of samples int16 [h, w, 3]."""
+    """Choose and write modes by tile; what is left of samples uint8 [h, w, 3], modulo 256."""
     height, width, _ = rgb.shape
     size_bits = 5 if height <= 1_024 else 9
     across = (width + (1 << size_bits) - 1) >> size_bits
     tile = (np.arange(height)[:, None] >> size_bits) * across + (np.arange(width)[None, :] >> size_bits)
     tiles = int(tile[-1, -1]) + 1
-    where = (256 * (3 * tile[..., None] + np.arange(3))).ravel()
-    costs = [_spread(((rgb - _predicted(rgb, mode)) & 255).ravel(), where, 3 * tiles).reshape(tiles, 3).sum(1) for mode in MODES]
-    best = np.array(MODES)[np.argmin(costs, axis=0)]
     left = rgb.copy()
-    for mode in {*best.tolist()} - {0}:
-        inside = (best == mode)[tile]
-        left[inside] -= _predicted(rgb, mode)[inside]
-    left[1:, 0] = rgb[1:, 0] - rgb[:-1, 0]
+    if height > 1:  # the first row and column have modes of their own
+        here, where = rgb[1:, 1:], 256 * (3 * tile[1:, 1:, None] + np.arange(3))
+        rests = [here, here - rgb[1:, :-1], here - rgb[:-1, 1:], here - rgb[:-1, :-1]]
+        costs = [_spread(rest, where, 3 * tiles).reshape(tiles, 3).sum(1) for rest in rests]
+        chosen = np.argmin(costs, axis=0)
+        for k in {*chosen.tolist()} - {0}:
+            inside = (chosen == k)[tile[1:, 1:]]
+            left[1:, 1:][inside] = rests[k][inside]
+        left[1:, 0] = rgb[1:, 0] - rgb[:-1, 0]
+    else:
+        chosen = np.zeros(tiles, np.int64)
+    best = np.array(MODES)[chosen]
     left[0, 1:] = rgb[0, 1:] - rgb[0, :-1]
-    left[0, 0] = rgb[0, 0]
     out.put(1, 1)
     out.put(0, 2)
     out.put(size_bits - 2, 3)
     _put_image(out, (np.uint32(BLACK) | best.astype(np.uint32) << np.uint32(8)).reshape(-1, across), False)
-    return left & 255
+    return left
 
 
 def _put_colour(out: Out, rgb: np.ndarray) -> np.ndarray:
-    """Choose and write the multipliers that shorten the code; what is left of samples [h, w, 3]."""
+    """Choose and write the multipliers that shorten the code; what is left of samples uint8 [h, w, 3]."""
     height, width, _ = rgb.shape
-    red, green, blue = (rgb[..., c].astype(np.int8).astype(np.int32) for c in range(3))
-
+    red, green, blue = (np.ascontiguousarray(rgb[..., c]).view(np.int8) for c in range(3))
+    floats = {id(x): x.ravel().astype(np.float32) for x in (red, green, blue)}
     cells = np.zeros(1, np.int64)
 
     def choose(of: np.ndarray, by: np.ndarray) -> tuple[int, np.ndarray]:
-        shared, varies, own = float((by * of).sum()), float((by * by).sum()), float((of * of).sum())
+        """Multiplier, and ``of`` (8 bits, signed) less its share of ``by``."""
+        x, y = floats.get(id(of), None), floats[id(by)]
+        x = of.ravel().astype(np.float32) if x is None else x
+        shared, varies, own = float(x @ y), float(y @ y), float(x @ x)
         if 8 * shared * shared < varies * own or not shared:
             return 0, of
         k = int(np.clip(np.rint(32 * shared / varies), -128, 127))
-        less = of - (k * by >> 5)
-        if k and _spread((less & 255).ravel(), cells, 1)[0] < _spread((of & 255).ravel(), cells, 1)[0]:
+        less = (of - (k * by.astype(np.int32) >> 5)).astype(np.int8)
+        if k and _spread(less.view(np.uint8).ravel(), cells, 1)[0] < _spread(of.view(np.uint8).ravel(), cells, 1)[0]:
             return k, less
         return 0, of
 
@@ -844,7 +868,7 @@ def _put_colour(out: Out, rgb: np.ndarray) -> np.ndarray:
     out.put(1, 2)
     out.put(size_bits - 2, 3)
     _put_image(out, np.full(tiles, element, np.uint32), False)
-    return np.stack([less_red & 255, rgb[..., 1], less_blue & 255], 2)
+    return np.stack([less_red.view(np.uint8), rgb[..., 1], less_blue.view(np.uint8)], 2)
 
 
 def _put_palette(out: Out, colours: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -878,7 +902,7 @@ def encode_rgb(samples: np.ndarray) -> bytes:
     if len(colours) <= 256 and 3 * len(colours) <= pixels.size:
         pixels = _put_palette(out, colours, np.searchsorted(colours, pixels))
     else:
-        rest = _put_colour(out, _put_predictor(out, samples.astype(np.int16))).astype(np.uint32)
+        rest = _put_colour(out, _put_predictor(out, samples)).astype(np.uint32)
         pixels = rest[..., 0] << np.uint32(16) | rest[..., 1] << np.uint32(8) | rest[..., 2]
     out.put(0, 1)
     _put_image(out, pixels, True)
