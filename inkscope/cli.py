@@ -3,13 +3,14 @@
 Scans directory trees or single files with a local or given Spark session and
 writes a report to standard output.  Exit codes: 2 after an error, 1 with
 ``--fail`` if something calls for action, else 0.  ``--fix`` writes cleaned files
-below ``--out``; inputs are never changed.
+below ``--out``, or in place of the files with ``--in-place``.
 """
 
 from __future__ import annotations
 
 import argparse
 import os
+import shutil
 import sys
 from functools import reduce
 from pathlib import Path
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import api
-from .binary.document import fix_documents
+from .binary.document import document_reports, fix_documents
 from .binary.media import strip_media
 from .operators import identity
 from .operators.detect import findings, reported_payloads, reported_words
@@ -40,6 +41,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--sarif", action="store_true")
     p.add_argument("--fix", action="store_true")
     p.add_argument("--out", help="where --fix writes")
+    p.add_argument("--in-place", action="store_true", help="--fix replaces each changed file, atomically")
     p.add_argument("--stdin", action="store_true", help="scan standard input; with --fix the text goes to standard output")
     p.add_argument("--stdin-name", default="")
     p.add_argument("--fail", action="store_true")
@@ -89,6 +91,8 @@ def _save(rows, root: str) -> int:
         place.parent.mkdir(parents=True, exist_ok=True)
         part = place.with_name(place.name + ".part")
         part.write_bytes(bytes(r.content))
+        if place.exists():
+            shutil.copymode(place, part)
         os.replace(part, place)
         count += 1
     return count
@@ -105,8 +109,8 @@ def _cleaned(found: DataFrame, options: Options, mode: str) -> DataFrame:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    if args.fix and not args.stdin and not args.out:
-        print("inkscope: --fix needs --out", file=sys.stderr)
+    if args.fix and not args.stdin and not args.out and not args.in_place:
+        print("inkscope: --fix needs --out or --in-place", file=sys.stderr)
         return 2
     try:
         config = Config.load(Path(args.config).read_text(encoding="utf-8")) if args.config else discovery.find_config(args.paths[0])[0]
@@ -125,36 +129,39 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     found = found.cache()
     try:
         reports = scan_files(found, options).cache()
-        total = scan_summary(reports)
-        texts = files.text_documents(found).where("error = ''").select("path", "text")
-        pay = reported_payloads(texts, options).where("not suppressed")
-        mixed = reported_words(texts, options).where("not suppressed")
-        chars = findings(texts, options)
-        if args.write_baseline or args.baseline:
-            items = identity.with_identity(identity.items(chars, pay, mixed))
-            where = args.baseline or discovery.BASELINE_NAME
-            if args.write_baseline:
-                sinks.write_baseline(identity.baseline_entries(items), where)
-                return 0
+        where = args.baseline or discovery.BASELINE_NAME
+        if args.write_baseline:
+            sinks.write_baseline(identity.baseline_entries(identity.with_identity(identity.report_items(reports))), where)
+            return 0
+        known, baselined = None, 0
+        if args.baseline:
             known = files.load_baseline(spark, where)
-            fresh = identity.new_items(items, known)
-            for r in identity.stale_entries(items, known).toLocalIterator():
+            for r in identity.stale_entries(identity.with_identity(identity.report_items(reports)), known).toLocalIterator():
                 print(f"inkscope: stale baseline entry {r.id} {r.path}", file=sys.stderr)
-            left = fresh.count()
-            print(f"{left} new, {identity.accepted_items(items, known).count()} baselined", file=sys.stderr)
-            return int(args.fail and left > 0)
+            reports = identity.without_accepted(reports, known).cache()
+            baselined = reports.agg(F.sum("baselined")).first()[0] or 0
+            reports = reports.drop("baselined")
+        total = scan_summary(reports)
         stream = sys.stderr if args.stdin and args.fix else sys.stdout
         if args.sarif:
+            texts = files.text_documents(found).where("error = ''").select("path", "text")
+            bodies = document_reports(found.where(image_format(F.col("content")).isNull())).where("text <> ''").select("path", "text")
+            texts = texts.unionByName(bodies)
+            pay = reported_payloads(texts, options).where("not suppressed")
+            mixed = reported_words(texts, options).where("not suppressed")
+            chars = findings(texts, options)
             results = sinks.sarif_results(chars, pay, mixed)
+            if known is not None:
+                results = results.join(known.select(F.col("id").alias("identity")), "identity", "left_anti")
             text, dropped = sinks.sarif(results, sinks.sarif_rules(chars, results))
             print(text, file=stream)
             if dropped:
                 print(f"inkscope: {dropped} results beyond the limit of {sinks.SARIF_LIMIT} were left out", file=sys.stderr)
         elif not args.quiet:
-            for line in sinks.json_report(reports, total) if args.json else sinks.text_report(reports, total):
+            for line in sinks.json_report(reports, total) if args.json else sinks.text_report(reports, total, baselined):
                 print(line, file=stream)
         if args.fix and not args.stdin:
-            print(f"{_save(_cleaned(found, options, args.strip_metadata), args.out)} file(s) written", file=sys.stderr)
+            print(f"{_save(_cleaned(found, options, args.strip_metadata), '' if args.in_place else args.out)} file(s) written", file=sys.stderr)
         return exit_code(total, total.first().errors, args.fail).first().exit_code
     finally:
         found.unpersist()

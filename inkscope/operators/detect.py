@@ -24,7 +24,7 @@ from ..functions import text as T
 from ..functions.quoting import quoting_classes
 from ..options import Options
 from ..tables import FORMATS, SCRIPT_PUNCTUATION, char_class
-from .lines import marker_class, marker_dimension, with_lines
+from .lines import marked, marker_class, marker_dimension, with_lines
 from .payloads import line_payloads, payloads
 from .words import FOREIGN, line_words, mixed_words
 
@@ -136,24 +136,23 @@ def verdicts(df: DataFrame, options: Options = Options(), text: str = "text", pa
     )
     pattern = marker_class(options)
 
-    def occurrences(arr):
-        masked, quotes = T.chars(F.col("__masked")), T.chars(F.col("__quotes"))
-        each = F.transform(arr, lambda c, i: F.struct(c.alias("ch"), i.alias("i"), F.coalesce(F.get(arr, i - 1), F.lit("")).alias("prev"), F.coalesce(F.get(arr, i + 1), F.lit("")).alias("next")))
-        hits = F.filter(each, lambda x: x["ch"].rlike(pattern))
+    def occurrences(hits):
+        # texts of equal shape are split only where they differ from the line
+        other = lambda c: F.when(F.col(c) != content, T.chars(F.col(c)))
         return T.let(
-            F.struct(masked.alias("m"), quotes.alias("q")),
+            F.struct(other("__masked").alias("m"), other("__quotes").alias("q")),
             lambda o: F.transform(
                 hits,
                 lambda x: F.struct(
                     x["ch"].alias("ch"), x["i"].alias("i"), x["prev"].alias("prev"), x["next"].alias("next"),
-                    F.get(o["m"], x["i"]).alias("masked"), F.get(o["q"], x["i"]).alias("quote"),
+                    F.coalesce(F.get(o["m"], x["i"]), x["ch"]).alias("masked"), F.coalesce(F.get(o["q"], x["i"]), x["ch"]).alias("quote"),
                 ),
             ),
         )
 
     keep = [c for c in df.columns if c != text]
     helpers = ["__native", "__curly", "__dash", "__quote", "__off", "__payloads", "__minor", "__wraps", "line", "offset", "format"]
-    occ = lines.select(*keep, *helpers, F.explode(T.let(T.chars(content), occurrences)).alias("__o"))
+    occ = lines.select(*keep, *helpers, F.explode(occurrences(marked(content, pattern))).alias("__o"))
     i = F.col("__o.i")
     occ = occ.select(
         *keep, *helpers, F.col("__o.ch").alias("ch"), (i + 1).alias("column"),
@@ -215,12 +214,17 @@ def reported_words(df: DataFrame, options: Options = Options(), text: str = "tex
 def clean_text(df: DataFrame, options: Options = Options(), key: str = "doc_id", text: str = "text", path: str = "path") -> DataFrame:
     """``df`` with markers rewritten: ``clean_text`` and ``changed``.
 
-    Only findings are shuffled, to meet their document; texts without any pass
-    through.  Pieces between findings are cut from one split of the text, so the
-    work is linear in its length.
+    A row is known by the hash of its key, path and text: rows that share a key,
+    or have none, get their own edits; equal rows get equal ones.  Only findings
+    are shuffled, to meet their document; texts without any pass through.  Pieces
+    between findings are cut from one split of the text, so the work is linear in
+    its length.
     """
-    hits = verdicts(df.select(*dict.fromkeys((key, path, text))), options, text, path).where("actionable")
-    edits = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("offset", "replacement"))).alias("__edits"))
+    parts = [F.col(c).cast("string") for c in dict.fromkeys((key, path, text))]
+    told = F.concat_ws("\n", *[F.coalesce(p, F.lit("")) for p in parts], *[F.coalesce(F.length(p), F.lit(-1)).cast("string") for p in parts])
+    df = df.withColumn("__row", F.md5(told))
+    hits = verdicts(df.select(*dict.fromkeys(("__row", path, text))), options, text, path).where("actionable")
+    edits = hits.groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("offset", "replacement"))).alias("__edits"))
 
     def rebuild(arr):
         e = F.col("__edits")
@@ -232,6 +236,6 @@ def clean_text(df: DataFrame, options: Options = Options(), key: str = "doc_id",
         )
         return F.concat(F.array_join(piece, ""), F.array_join(T.cut(arr, F.element_at(e, -1)["offset"] + 1, F.size(arr)), ""))
 
-    out = df.join(edits, key, "left")
+    out = df.join(edits, "__row", "left").drop("__row")
     new = F.when(F.col("__edits").isNull(), F.col(text)).otherwise(T.let(T.chars(F.col(text)), rebuild))
     return out.withColumn("clean_text", new).withColumn("changed", F.col("__edits").isNotNull()).drop("__edits")

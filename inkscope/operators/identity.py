@@ -73,3 +73,29 @@ def accepted_items(identified: DataFrame, baseline: DataFrame) -> DataFrame:
 def stale_entries(identified: DataFrame, baseline: DataFrame) -> DataFrame:
     """Accepted entries that nothing matches any more, sorted by path and id."""
     return baseline.join(identified.select("id"), "id", "left_anti").orderBy("path", "id")
+
+
+def report_items(reports: DataFrame) -> DataFrame:
+    """``items`` of nested reports, with the array (``part``) and the place in it (``at``) each stands at."""
+    def of(part: str, key: Column, rank: Column, order: str, where: str = "true"):
+        return (
+            reports.select("path", F.posexplode(part).alias("at", "x")).where(where)
+            .select("path", key.alias("key"), rank.alias("rank"), F.col(f"x.{order}").cast("long").alias("ord"), F.lit(part).alias("part"), "at")
+        )
+
+    return (
+        of("findings", F.col("x.codepoint"), F.lit(0), "offset", "not x.in_payload")
+        .unionByName(of("payloads", F.lit("payload"), F.col("x.rank") + 1, "start"))
+        .unionByName(of("mixed_script", F.concat(F.lit("mixed:"), F.col("x.word")), F.lit(4), "start"))
+    )
+
+
+def without_accepted(reports: DataFrame, baseline: DataFrame) -> DataFrame:
+    """``reports`` without the items that the baseline accepts; ``baselined`` counts them."""
+    accepted = accepted_items(with_identity(report_items(reports)), baseline.dropDuplicates(["id"]))
+    held = accepted.groupBy("path").agg(F.collect_set(F.struct("part", "at")).alias("__gone"))
+    out = reports.join(held, "path", "left")
+    for part in ("findings", "payloads", "mixed_script"):
+        gone = lambda i, part=part: F.array_contains("__gone", F.struct(F.lit(part).alias("part"), i.alias("at")))
+        out = out.withColumn(part, F.when(F.col("__gone").isNull(), F.col(part)).otherwise(F.filter(part, lambda x, i, gone=gone: ~gone(i))))
+    return out.withColumn("baselined", F.coalesce(F.size("__gone"), F.lit(0))).drop("__gone")

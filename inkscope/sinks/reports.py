@@ -92,42 +92,72 @@ def sarif_rules(findings: DataFrame, results: DataFrame) -> DataFrame:
     return chars.unionByName(fixed).dropDuplicates(["rule_id"])
 
 
+def json_rows(reports: DataFrame) -> DataFrame:
+    """(path, j): each report as JSON."""
+    return reports.select("path", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+
+
 def json_report(reports: DataFrame, total: DataFrame) -> Iterator[str]:
     """The lines of a JSON report: version, files, summary."""
     yield '{"version": 1, "files": ['
     before = ""
-    for row in reports.orderBy("path").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+    for row in json_rows(reports).orderBy("path").toLocalIterator():
         yield before + row.j
         before = ","
     yield '], "summary": ' + total.select(F.to_json(F.struct("*"))).first()[0] + "}"
 
 
-def text_report(reports: DataFrame, total: DataFrame) -> Iterator[str]:
+def text_rows(reports: DataFrame) -> DataFrame:
+    """(path, lines): what a plain report says of each file that has anything to report.
+
+    Payloads, declared generators, metadata, mixed words, findings; those inside a
+    payload are counted only.
+    """
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    def payload(p):
+        what = F.when(p["printable"], text("decodes to ", quoted(p["text"]), " across ", p["runes"], " characters"))
+        return text("  !! hidden payload (", p["scheme"], ") ", what.otherwise(text("of ", p["runes"], " characters, not printable text")))
+
+    def record(m):
+        marker = F.when(m["kind"] == "c2pa", "provenance").otherwise("metadata")
+        label = F.when(m["label"] == "", m["kind"]).otherwise(F.concat_ws(" ", m["kind"], m["label"]))
+        value = F.when(m["value"] == "", "").otherwise(text(" = ", quoted(m["value"])))
+        return text("  ", marker, "  ", label, value, F.when(m["bytes"] > 0, text(" (", m["bytes"], " bytes)")).otherwise(""))
+
+    def finding(f):
+        arrow = F.when(f["applied"] & (f["replacement"] != ""), text(" -> ", quoted(f["replacement"]))).otherwise("")
+        return text("  ", f["line"], ":", f["column"], "  ", f["action"], "  ", f["codepoint"], " ", f["name"], arrow, " (", f["kind"], ")")
+
+    word = lambda w: text("  ", w["line"], ":", w["column"], "  mixed-script  ", quoted(w["word"]), " mixes ", F.array_join(w["scripts"], " and "))
+    parts = [F.transform("payloads", payload)]
+    if "metadata" in reports.columns:
+        declared = F.filter("provenance", lambda s: s["ai"])
+        parts += [F.transform(declared, lambda s: text("  ai-declared  ", s["source"], " names ", quoted(s["detail"]))), F.transform("metadata", record)]
+    inside = F.size(F.filter("findings", lambda f: f["in_payload"]))
+    parts += [F.transform("mixed_script", word), F.transform(F.filter("findings", lambda f: ~f["in_payload"]), finding)]
+    parts.append(F.when(inside > 0, F.array(text("  (", inside, " character(s) in the payload above)"))).otherwise(F.array().cast("array<string>")))
+    return reports.select("path", F.concat(*parts).alias("lines")).where(F.size("lines") > 0)
+
+
+def text_report(reports: DataFrame, total: DataFrame, baselined: int = 0) -> Iterator[str]:
     """The lines of a plain report; clean files are left out."""
-    busy = reports.where((F.size("findings") > 0) | (F.size("payloads") > 0) | (F.size("mixed_script") > 0))
-    for r in busy.orderBy("path").toLocalIterator():
+    for r in text_rows(reports).orderBy("path").toLocalIterator():
         yield ""
         yield r.path
-        for p in r.payloads:
-            what = f'decodes to "{p.text}" across {p.runes} characters' if p.printable else f"of {p.runes} characters, not printable text"
-            yield f"  !! hidden payload ({p.scheme}) {what}"
-        for w in r.mixed_script:
-            yield f'  {w.line}:{w.column}  mixed-script  "{w.word}" mixes {" and ".join(w.scripts)}'
-        inside = 0
-        for f in r.findings:
-            if f.in_payload:
-                inside += 1
-                continue
-            arrow = f' -> "{f.replacement}"' if f.applied and f.replacement else ""
-            yield f"  {f.line}:{f.column}  {f.action}  {f.codepoint} {f.name}{arrow} ({f.kind})"
-        if inside:
-            yield f"  ({inside} character(s) in the payload above)"
-    s = total.first()
-    if not (s.markers_detected or s.mixed_script_words):
-        yield f"clean: {s.files_scanned} file(s) scanned" + (f", {s.suppressed} suppressed" if s.suppressed else "")
+        yield from r.lines
+    s = total.first().asDict()
+    records = s.get("metadata_records", 0)
+    if not (s["markers_detected"] or s["mixed_script_words"] or records):
+        more = [(s["suppressed"], "suppressed"), (baselined, "baselined")]
+        yield ", ".join([f"clean: {s['files_scanned']} file(s) scanned", *(f"{n} {what}" for n, what in more if n)])
         return
+    more = [
+        (records, "metadata record(s)"), (s["mixed_script_words"], "mixed-script word(s)"), (s["payloads_decoded"], "decoded payload(s)"),
+        (s["markers_applied"], "fixed"), (s["suppressed"], "suppressed"), (baselined, "baselined"),
+    ]
     yield ""
-    yield f"found: {s.markers_detected} marker(s) in {s.files_with_markers} of {s.files_scanned} file(s)"
+    yield ", ".join([f"found: {s['markers_detected']} marker(s) in {s['files_with_markers']} of {s['files_scanned']} file(s)", *(f"{n} {what}" for n, what in more if n)])
 
 
 def write_baseline(entries: DataFrame, path: str) -> None:
