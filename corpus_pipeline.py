@@ -60,14 +60,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Repeat or leave out documents until sources stand in their target weights.
 
     A document that the mix takes in part is there as a whole; one taken for more
-    than its size is there twice.  A row is known by all its columns, null or not:
+    than its size is there twice; one without words costs no budget and stays.  A row is known by all its columns, null or not:
     documents without an id and texts that share one each follow their own plan,
     equal rows come as often as their plans say together.
     """
     docs = docs.withColumn("row", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    plan = mixing.mix(docs, labels, keep=("row",)).where("taken > 0")
-    times = plan.groupBy("row").agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times"))
+    plan = mixing.mix(docs, labels, keep=("row",))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.col("size")))
+    times = plan.groupBy("row").agg(F.sum(copies).cast("int").alias("times")).where("times > 0")
     single = docs.dropDuplicates(["row"])  # first: the join then finds its rows in place
     copies = single.join(times, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     return copies.select(*COLUMNS)

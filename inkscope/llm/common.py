@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder for intermediate tables.
 
-    It is the session's ``spark.checkpoint.dir``; a private one is set only where
-    the session names none (local tests).
+    It is the session's ``spark.checkpoint.dir``; a private one is set only in a
+    local session that names none (tests): elsewhere executors could not see it.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -9,7 +9,9 @@ their words is cut at the budget (the document at the cut gives its part).
 
 Running sums are not taken over a whole source: keys are dealt to ordered
 buckets, bucket sums give offsets, and only rows of one bucket are sorted
-together.  ``u`` is a hash of the id, so reruns agree.
+together.  Bounds are quantiles of the keys, known from the shares of the three
+weights, so buckets are even whatever the weights.  ``u`` is a hash of the id (of
+the text where there is none), so reruns agree.
 
 Null texts count no words; a null source is a source, ordered last; repeated rows
 count as often as they occur (same key: they follow each other).
@@ -66,7 +68,8 @@ def mix(
     ``labels`` (key, quality) gives the quality weights; without it all are 1.
     Texts are measured before anything is shuffled.
     """
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    told = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.col(text)), F.lit(""))
+    u = (F.conv(F.substring(F.md5(told), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     rows = df.select(
         F.col(key).alias("id"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -79,9 +82,12 @@ def mix(
         good, none, poor = QUALITY
         w = F.when(F.col("quality") >= 1, good).when(F.col("quality") < 1, poor).otherwise(none)
         rows = rows.join(_quality(labels, key), "id", "left")
-    rows = cut(rows.select("id", "size", "source", (-F.log("u") / w).alias("draw"), *keep))
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
-    rows = rows.withColumn("part", F.least(F.floor((1 - F.exp(-F.col("draw"))) * buckets), F.lit(buckets - 1)).cast("int"))
+    rows = cut(rows.select("id", "size", "source", (-F.log("u") / w).alias("draw"), w.alias("w"), *keep))
+    shares = {r.w: r["count"] for r in rows.groupBy("w").count().collect()}  # three weights at most
+    count = sum(shares.values())
+    buckets = max(1, -(-count // BUCKET_ROWS))
+    below = sum((F.lit(n / count) * (1 - F.exp(-F.col("draw") * v)) for v, n in sorted(shares.items())), F.lit(0.0))
+    rows = rows.withColumn("part", F.least(F.floor(below * buckets), F.lit(buckets - 1)).cast("int")).drop("w")
     sums = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
     goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     of_source = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

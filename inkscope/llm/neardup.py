@@ -14,6 +14,14 @@ hashes, enough that two such sets at 0.8 must share one.  Pairs that meet are co
 
 Every candidate pair is then verified on the two sets; only true edges reach the
 components.  Only texts of candidate nodes are read again, one a node.
+
+A bucket in which many pairs meet (a large group of near copies) first gives a
+spanning forest of its pairs only, the closest ones (Prim's algorithm on sketch
+distances).  If all of a bucket's forest is verified, its other pairs can join
+nothing that is not joined yet.  The nodes of every other such bucket meet once
+more, and all their pairs between different components are verified.  So the
+components are those of all pairs, and a group of copies costs in proportion to
+its size.
 """
 
 from __future__ import annotations
@@ -132,28 +140,42 @@ def _variants(batches):
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of ``nodes`` (node distinct, sketch) to be verified."""
+    """(a, b, bucket), a < b: pairs of ``nodes`` (node distinct, sketch) to be verified.
+
+    ``bucket`` names the bucket of which only a forest is given; it is null where
+    all pairs of a bucket are given.
+    """
     rows = nodes.select("node", "sketch").mapInArrow(_variants, "key bigint, node bigint, s0 bigint, s1 bigint")
     dealt = rows.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_meet, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(_meet, "a bigint, b bigint, bucket bigint").distinct()
 
 
-def _meet(batches):
-    held = np.zeros((4, 0), np.int64)
+def _buckets(batches, columns):
+    """Rows of whole buckets, from batches sorted by the first column."""
+    held = np.zeros((len(columns), 0), np.int64)
     for batch in batches:
-        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in ("key", "node", "s0", "s1")])], 1)
+        rows = np.concatenate([held, np.stack([batch.column(c).to_numpy() for c in columns])], 1)
         if not rows.shape[1]:
             continue
         at = int(np.searchsorted(rows[0], rows[0, -1]))  # the last bucket may go on
         held = rows[:, at:]
-        yield from _pairs(rows[:, :at])
-    yield from _pairs(held)
+        yield rows[:, :at]
+    yield held
+
+
+def _meet(batches):
+    for rows in _buckets(batches, ("key", "node", "s0", "s1")):
+        yield from _pairs(rows)
+
+
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of rows (key, node, s0, s1)."""
+    return np.bitwise_count((x[2] ^ y[2]).view(np.uint64)).astype(np.int16) + np.bitwise_count((x[3] ^ y[3]).view(np.uint64))
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether rows (key, node, s0, s1) of one key are within the radius of that kind of key."""
-    bits = np.bitwise_count((x[2] ^ y[2]).view(np.uint64)).astype(np.int16) + np.bitwise_count((x[3] ^ y[3]).view(np.uint64))
-    return (bits <= np.where(x[0] < 0, SHORT_RADIUS, RADIUS)) & (x[1] != y[1])
+    """Whether rows of one key are within the radius of that kind of key."""
+    return (_distance(x, y) <= np.where(x[0] < 0, SHORT_RADIUS, RADIUS)) & (x[1] != y[1])
 
 
 def _pairs(rows: np.ndarray):
@@ -162,32 +184,85 @@ def _pairs(rows: np.ndarray):
     key = rows[0]
     start = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
     size = np.diff(np.concatenate([start, [len(key)]]))
-    of = np.repeat(size, size)
-    small = rows[:, (of > 1) & (of <= SMALL)]
-    step, at = 1, np.arange(small.shape[1])
+    of = np.repeat(np.arange(len(size)), size)
+    small = np.flatnonzero((size[of] > 1) & (size[of] <= SMALL))
+    crowded = size > SMALL
     found = []
+    step, at = 1, np.arange(len(small))
     while at.size:
-        at = at[at + step < small.shape[1]]
-        at = at[small[0, at] == small[0, at + step]]
-        x, y = small[:, at], small[:, at + step]
-        hit = _near(x, y)
-        found.append((x[1, hit], y[1, hit]))
+        at = at[at + step < len(small)]
+        at = at[key[small[at]] == key[small[at + step]]]
+        x, y = small[at], small[at + step]
+        hit = _near(rows[:, x], rows[:, y])
+        found.append(np.stack([x[hit], y[hit]]))
         step += 1
-    yield _batch(found)
-    for k in np.flatnonzero(size > SMALL):
+    if found:
+        x, y = np.concatenate(found, 1)
+        crowded |= np.bincount(of[x], minlength=len(size)) > 2 * size
+        kept = ~crowded[of[x]]
+        yield _batch(rows[1, x[kept]], rows[1, y[kept]], None)
+    for k in np.flatnonzero(crowded):
         own = rows[:, start[k] : start[k] + size[k]]
-        for begin in range(own.shape[1] - 1):
-            rest = own[:, begin + 1 :]
-            hit = _near(np.broadcast_to(own[:, begin : begin + 1], rest.shape), rest)
-            if hit.any():
-                yield _batch([(np.full(int(hit.sum()), own[1, begin]), rest[1, hit])])
-
-
-def _batch(found: list) -> pa.RecordBatch:
-    a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-    b = np.concatenate([y for _, y in found]) if found else np.zeros(0, np.int64)
+        yield _batch(*_forest(own), int(key[start[k]]))
+
+
+def _forest(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges of a least spanning forest over the pairs of one bucket that are near."""
+    own = own[:, np.unique(own[1], return_index=True)[1]]
+    n = own.shape[1]
+    radius = SHORT_RADIUS if own[0, 0] < 0 else RADIUS
+    best, came = np.full(n, 1 << 14, np.int16), np.zeros(n, np.int64)
+    outside = np.ones(n, bool)
+    at, edges = 0, []
+    for _ in range(n - 1):
+        outside[at] = False
+        best[at] = 1 << 14
+        distance = _distance(own[:, at : at + 1], own)
+        closer = outside & (distance < best)
+        best[closer], came[closer] = distance[closer], at
+        at = int(best.argmin())
+        if best[at] <= radius:
+            edges.append((came[at], at))
+    a, b = np.array(edges, np.int64).reshape(-1, 2).T
+    return own[1, a], own[1, b]
+
+
+def _batch(a: np.ndarray, b: np.ndarray, bucket: int | None) -> pa.RecordBatch:
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    named = pa.nulls(len(pairs), pa.int64()) if bucket is None else pa.array(np.full(len(pairs), bucket))
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), named], ["a", "b", "bucket"])
+
+
+def _cross(batches):
+    """Pairs (a, b) of rows (key, node, s0, s1, label) that share a key, are near and have different labels."""
+    for rows in _buckets(batches, ("key", "node", "s0", "s1", "label")):
+        edges = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1])) if rows.shape[1] else []
+        for begin, end in zip(edges, [*edges[1:], rows.shape[1]]):
+            own = rows[:, begin:end]
+            for k in range(own.shape[1] - 1):
+                rest = own[:, k + 1 :]
+                rest = rest[:, rest[4] != own[4, k]]
+                hit = _near(np.broadcast_to(own[:, k : k + 1], rest.shape), rest)
+                if hit.any():
+                    b = rest[1, hit]
+                    a = np.full(len(b), own[1, k])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def remaining(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of buckets of which an edge of the forest failed, between different components of ``edges``."""
+    forest = pairs.where("bucket is not null")
+    bad = cut(forest.join(edges, ["a", "b"], "left_anti").select("bucket").distinct())
+    if bad.isEmpty():
+        return edges.where("false")
+    held = forest.join(bad, "bucket", "left_semi")
+    members = held.select("bucket", F.col("a").alias("node")).unionByName(held.select("bucket", F.col("b").alias("node"))).distinct()
+    half = lambda at: F.conv(F.hex(F.substring("sketch", at, 4)), 16, 10).cast("bigint")
+    signed = [F.shiftleft(half(at), 32).bitwiseOR(half(at + 4)) for at in (1, 9)]
+    told = nodes.select("node", *[w.alias(f"s{k}") for k, w in enumerate(signed)])
+    linked = roots(edges).select("node", F.col("root").alias("label"))
+    rows = members.join(told, "node").join(linked, "node", "left").select(F.col("bucket").alias("key"), "node", "s0", "s1", F.coalesce("label", "node").alias("label"))
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_cross, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,7 +294,9 @@ def survivors(df: DataFrame, shingle: int = 5, key: str = "doc_id", text: str =
     pairs = cut(candidates(nodes))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.join(ends, "node", "left_semi").select("node", "least.*")
-    edges = verified(pairs, cut(_sets(df, wanted, shingle, key, text)))
-    linked = roots(edges).withColumnRenamed("node", "of")
+    sets = cut(_sets(df, wanted, shingle, key, text))
+    edges = cut(verified(pairs.select("a", "b").distinct(), sets))
+    more = verified(cut(remaining(pairs, edges, nodes)), sets)
+    linked = roots(edges.unionByName(more)).withColumnRenamed("node", "of")
     named = nodes.join(linked, nodes.node == linked.of, "left").select("least", F.coalesce("root", "node").alias("root"))
     return named.groupBy("root").agg(F.min("least").alias("least")).select("least.*")

@@ -141,6 +141,29 @@ def test_near_copies_at_the_threshold_are_linked(spark):
     assert kept_by_stage(spark, texts) == {*range(0, len(texts), 2)}
 
 
+@pytest.mark.parametrize("edits", [3, 9])
+def test_large_groups_of_near_copies(spark, edits):
+    """Forests of crowded buckets give the components of all pairs, from far fewer of them."""
+    r = random.Random(edits)
+    texts = []
+    for _ in range(3):
+        base = ["w%d" % r.randrange(10**6) for _ in range(120)]
+        for _ in range(150):
+            copy = base[:]
+            for _ in range(r.randint(1, edits)):
+                copy[r.randrange(len(copy))] = "x%d" % r.randrange(10**6)
+            texts.append(" ".join(copy))
+    sets = [{*neardup.shingle_set(t).tolist()} for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = union(pairs, range(len(texts)))
+    assert kept_by_stage(spark, texts) == {*want.values()}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = neardup.prints(rows).select("node", "sketch").dropDuplicates(["node"])
+    found = neardup.candidates(nodes)
+    assert found.where("bucket is not null").count() > 0
+    assert found.select("a", "b").distinct().count() < 0.5 * 3 * 150 * 149 / 2  # of the pairs within the groups
+
+
 def test_near_fingerprints_alone_drop_nothing(spark):
     """Pairs below 0.8 stay, alone and at the end of a chain of true copies."""
     r = random.Random(29)
