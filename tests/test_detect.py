@@ -207,3 +207,28 @@ def test_empty(spark):
     docs = frame(spark, [("a.py", None), (None, ""), (None, "x" + u(0x200B))])
     assert [r.verdict for r in detect.verdicts(docs).collect()] == ["finding"]
     assert summary.file_reports(docs.where("false")).count() == 0
+
+
+def test_time_is_linear_in_marker_lines(spark):
+    """Sixteen times the lines with markers take far less than sixteen times sixteen times as long."""
+    import time
+
+    def took(n):
+        text = "\n".join(f"line {k} of\u200b text" for k in range(n))
+        df = spark.createDataFrame([(1, text, "a.md")], "doc_id long, text string, path string")
+        begin = time.time()
+        seen = detect.verdicts(df).agg(F.count(F.lit(1)), F.max("offset"), F.max("line")).first()
+        assert tuple(seen) == (n, text.rindex("\u200b"), n)
+        return time.time() - begin
+
+    took(10)
+    small, large = took(4_000), took(64_000)
+    assert large < 16 * small + 20
+
+
+def test_clean_rows_that_share_a_key(spark):
+    """Repeated and missing keys: each row has its own edits."""
+    rows = [(1, "a\u200bb", "x.py"), (1, "\u200bcd\u200b", "x.py"), (None, "e\u200bf", "x.py"), (None, "gh", "x.py"), (1, "a\u200bb", "x.py")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = sorted((r.doc_id is None, r.clean_text, r.changed) for r in detect.clean_text(df, Options(clean=True)).collect())
+    assert got == [(False, "ab", True), (False, "ab", True), (False, "cd", True), (True, "ef", True), (True, "gh", False)]
