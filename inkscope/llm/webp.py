@@ -572,7 +572,7 @@ def _code_lengths(counts: np.ndarray, deepest: int = DEEPEST) -> tuple[np.ndarra
             lengths = np.empty(n, np.int64)
             lengths[order] = depth[:n]
             return used, lengths
-        weights = (weights >> 1) + 1
+        weights = (weights + 1) >> 1  # ends at ones, whose code is balanced
 
 
 def _words(symbols: np.ndarray, lengths: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:

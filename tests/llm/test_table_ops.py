@@ -565,6 +565,16 @@ def test_webp_store_by_a_second_decoder():
     assert kinds == {0, 1, 3} and refs and cached
 
 
+def test_webp_code_lengths():
+    """Codes are complete and short enough for any counts, and best where no code is too long."""
+    r = np.random.default_rng(5)
+    cases = [np.array([1] * 400 + [2] * 136), np.array([1] * 535 + [500]), 2 ** np.arange(30), r.integers(0, 3, 536), r.zipf(1.3, 536), np.array([0, 7, 0]), np.array([0, 0])]
+    for counts in cases:
+        symbols, lengths = webp._code_lengths(counts)
+        assert lengths.max() <= webp.DEEPEST and (len(symbols) < 2 or (2.0**-lengths).sum() == 1)
+        assert len(symbols) < 2 or {*symbols.tolist()} == {*np.flatnonzero(counts).tolist()}
+
+
 def test_webp_many_rows():
     """A payload of more than one image's rows, and code declarations that come again."""
     raw = bytes(random.Random(3).choices(b"some text of letters  ", k=192 * 16_500))
