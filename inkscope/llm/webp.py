@@ -7,9 +7,8 @@ ARGB pixels.
 
 ``store`` writes bytes as red, green and blue samples of an image 64 pixels wide
 (192 bytes a row).  An image of at most 256 colours is stored by a palette; any
-other by a predictor image (for each tile the cheapest of the modes that row
-operations invert) and a cross-colour image (multipliers where they shorten the
-code).  What is left is coded by back-references to the last place where the next
+other by a predictor image (for each tile the cheapest of three modes that row
+operations invert) and, where it shortens the code, a cross-colour image.  What is left is coded by back-references to the last place where the next
 pixels occurred, the colour cache where it pays, and Huffman codes of at most
 ten bits.  ``fetch`` reads all of that back through the decoder.  A chunk
 ``TXLN`` holds the payload's length.  Equal payloads give equal files.  What
@@ -503,7 +502,7 @@ def decode(data: bytes) -> np.ndarray:
 #: Longest code written: small tables, and a literal fits one look.
 DEEPEST = 10
 #: Modes that the writer chooses among: their inverse needs no loop over pixels.
-MODES = (0, 1, 2, 4)
+MODES = (0, 1, 2)
 CACHE_BITS = 8
 MATCH = 4  # pixels a back-reference replaces at least
 _REVERSED = _reversal(DEEPEST).astype(np.uint64)
@@ -686,11 +685,12 @@ def _matches(flat: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     key = flat[: n - MATCH + 1].astype(np.uint64)
     for k in range(1, MATCH):
         key = key * np.uint64(0x9E3779B97F4A7C15) + flat[k : n - MATCH + 1 + k]
+    held = np.sort(key)
+    if not (held[1:] == held[:-1]).any():
+        return starts, runs, fars
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     later = order[1:][same]
-    if not later.size:
-        return starts, runs, fars
     rank = np.argsort(later)
     before = order[:-1][same][rank].tolist()
     free = 0
@@ -820,7 +820,7 @@ def _put_predictor(out: Out, rgb: np.ndarray) -> np.ndarray:
     left = rgb.copy()
     if height > 1:  # the first row and column have modes of their own
         here, where = rgb[1:, 1:], 256 * (3 * tile[1:, 1:, None] + np.arange(3))
-        rests = [here, here - rgb[1:, :-1], here - rgb[:-1, 1:], here - rgb[:-1, :-1]]
+        rests = [here, here - rgb[1:, :-1], here - rgb[:-1, 1:]]
         costs = [_spread(rest, where, 3 * tiles).reshape(tiles, 3).sum(1) for rest in rests]
         chosen = np.argmin(costs, axis=0)
         for k in {*chosen.tolist()} - {0}:
@@ -861,6 +861,8 @@ def _put_colour(out: Out, rgb: np.ndarray) -> np.ndarray:
     to_red, less_red = choose(red, green)
     to_blue, less_blue = choose(blue, green)
     red_blue, less_blue = choose(less_blue, red)
+    if not (to_red or to_blue or red_blue):
+        return rgb
     size_bits = 9
     tiles = ((height + 511) >> size_bits, (width + 511) >> size_bits)
     element = BLACK | (red_blue & 255) << 16 | (to_blue & 255) << 8 | (to_red & 255)
