@@ -77,6 +77,7 @@ def stale_entries(identified: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def report_items(reports: DataFrame) -> DataFrame:
     """``items`` of nested reports, with the array (``part``) and the place in it (``at``) each stands at."""
+
     def of(part: str, key: Column, rank: Column, order: str, where: str = "true"):
         return (
             reports.select("path", F.posexplode(part).alias("at", "x")).where(where)
@@ -95,7 +96,10 @@ def without_accepted(reports: DataFrame, baseline: DataFrame) -> DataFrame:
     accepted = accepted_items(with_identity(report_items(reports)), baseline.dropDuplicates(["id"]))
     held = accepted.groupBy("path").agg(F.collect_set(F.struct("part", "at")).alias("__gone"))
     out = reports.join(held, "path", "left")
-    for part in ("findings", "payloads", "mixed_script"):
-        gone = lambda i, part=part: F.array_contains("__gone", F.struct(F.lit(part).alias("part"), i.alias("at")))
-        out = out.withColumn(part, F.when(F.col("__gone").isNull(), F.col(part)).otherwise(F.filter(part, lambda x, i, gone=gone: ~gone(i))))
+
+    def left(part: str) -> Column:
+        gone = lambda i: F.array_contains("__gone", F.struct(F.lit(part).alias("part"), i.alias("at")))
+        return F.when(F.col("__gone").isNull(), F.col(part)).otherwise(F.filter(part, lambda x, i: ~gone(i)))
+
+    out = out.withColumns({part: left(part) for part in ("findings", "payloads", "mixed_script")})
     return out.withColumn("baselined", F.coalesce(F.size("__gone"), F.lit(0))).drop("__gone")
