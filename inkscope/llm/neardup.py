@@ -15,19 +15,19 @@ hashes, enough that two such sets at 0.8 must share one.  Pairs that meet are co
 Every candidate pair is then verified on the two sets; only true edges reach the
 components.  Only texts of candidate nodes are read again, one a node.
 
-A bucket in which many pairs meet (a large group of near copies) first gives a
-spanning forest of its pairs only, the closest ones (Prim's algorithm on sketch
-distances).  If all of a bucket's forest is verified, its other pairs can join
-nothing that is not joined yet.  The nodes of every other such bucket meet once
-more, and all their pairs between different components are verified.  So the
-components are those of all pairs, and a group of copies costs in proportion to
-its size.
+A bucket in which many pairs meet (a large group of near copies) gives no pairs, but
+its members: their sets come to the bucket, and all its pairs between different
+components are verified there.  What leaves it is a star for each component, so
+the components are those of all pairs while every table of the plan grows in
+proportion to the texts: 80 rows a member, and two pairs at most for each row of
+any other bucket.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,10 @@ SHORT = 40
 RADIUS, SHORT_RADIUS = 36, 48
 #: Buckets beyond this are compared in blocks of rows.
 SMALL = 512
+#: A bucket of more pairs than this a row is crowded.
+MANY = 2
+#: Items of sets compared at once.
+ROOM = 1 << 20
 
 _SUBSETS = np.array([[m >> i & 1 for i in range(FLIPS)] for m in range(1 << FLIPS)], np.int64)
 
@@ -140,10 +144,8 @@ def _variants(batches):
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, bucket), a < b: pairs of ``nodes`` (node distinct, sketch) to be verified.
-
-    ``bucket`` names the bucket of which only a forest is given; it is null where
-    all pairs of a bucket are given.
+    """(a, b, bucket) of ``nodes`` (node distinct, sketch): pairs a < b to be verified, without a bucket;
+    or members ``a`` of a crowded bucket, without ``b``, whose pairs are verified there (``within``).
     """
     rows = nodes.select("node", "sketch").mapInArrow(_variants, "key bigint, node bigint, s0 bigint, s1 bigint")
     dealt = rows.repartition("key").sortWithinPartitions("key")
@@ -186,7 +188,6 @@ def _pairs(rows: np.ndarray):
     size = np.diff(np.concatenate([start, [len(key)]]))
     of = np.repeat(np.arange(len(size)), size)
     small = np.flatnonzero((size[of] > 1) & (size[of] <= SMALL))
-    crowded = size > SMALL
     found = []
     step, at = 1, np.arange(len(small))
     while at.size:
@@ -198,71 +199,112 @@ def _pairs(rows: np.ndarray):
         step += 1
     if found:
         x, y = np.concatenate(found, 1)
-        crowded |= np.bincount(of[x], minlength=len(size)) > 2 * size
-        kept = ~crowded[of[x]]
-        yield _batch(rows[1, x[kept]], rows[1, y[kept]], None)
-    for k in np.flatnonzero(crowded):
-        own = rows[:, start[k] : start[k] + size[k]]
-        yield _batch(*_forest(own), int(key[start[k]]))
+        many = (np.bincount(of[x], minlength=len(size)) > MANY * size)[of[x]]
+        yield _batch(rows[1, x[~many]], rows[1, y[~many]])
+        yield _members(rows[:2, np.unique([x[many], y[many]])])
+    for k in np.flatnonzero(size > SMALL):
+        yield from _large(rows[:, start[k] : start[k] + size[k]])
 
 
-def _forest(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the edges of a least spanning forest over the pairs of one bucket that are near."""
-    own = own[:, np.unique(own[1], return_index=True)[1]]
+def _large(own: np.ndarray):
+    """The near pairs of one bucket, or its members that have any, where the pairs are many."""
     n = own.shape[1]
-    radius = SHORT_RADIUS if own[0, 0] < 0 else RADIUS
-    best, came = np.full(n, 1 << 14, np.int16), np.zeros(n, np.int64)
-    outside = np.ones(n, bool)
-    at, edges = 0, []
-    for _ in range(n - 1):
-        outside[at] = False
-        best[at] = 1 << 14
-        distance = _distance(own[:, at : at + 1], own)
-        closer = outside & (distance < best)
-        best[closer], came[closer] = distance[closer], at
-        at = int(best.argmin())
-        if best[at] <= radius:
-            edges.append((came[at], at))
-    a, b = np.array(edges, np.int64).reshape(-1, 2).T
-    return own[1, a], own[1, b]
-
-
-def _batch(a: np.ndarray, b: np.ndarray, bucket: int | None) -> pa.RecordBatch:
+    touched, found, pairs = np.zeros(n, bool), [], 0
+    for k in range(n - 1):
+        hit = np.flatnonzero(_near(own[:, k : k + 1], own[:, k + 1 :])) + k + 1
+        if hit.size:
+            touched[k] = touched[hit] = True
+            pairs += len(hit)
+            if pairs <= MANY * n:
+                found.append(np.stack([np.full(len(hit), k), hit]))
+    if pairs > MANY * n:
+        yield _members(own[:2, touched])
+    elif found:
+        x, y = np.concatenate(found, 1)
+        yield _batch(own[1, x], own[1, y])
+
+
+def _members(rows: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, node) as members of crowded buckets."""
+    return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[0])], ["a", "b", "bucket"])
+
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    named = pa.nulls(len(pairs), pa.int64()) if bucket is None else pa.array(np.full(len(pairs), bucket))
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), named], ["a", "b", "bucket"])
-
-
-def _cross(batches):
-    """Pairs (a, b) of rows (key, node, s0, s1, label) that share a key, are near and have different labels."""
-    for rows in _buckets(batches, ("key", "node", "s0", "s1", "label")):
-        edges = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1])) if rows.shape[1] else []
-        for begin, end in zip(edges, [*edges[1:], rows.shape[1]]):
-            own = rows[:, begin:end]
-            for k in range(own.shape[1] - 1):
-                rest = own[:, k + 1 :]
-                rest = rest[:, rest[4] != own[4, k]]
-                hit = _near(np.broadcast_to(own[:, k : k + 1], rest.shape), rest)
-                if hit.any():
-                    b = rest[1, hit]
-                    a = np.full(len(b), own[1, k])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-
-def remaining(pairs: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of buckets of which an edge of the forest failed, between different components of ``edges``."""
-    forest = pairs.where("bucket is not null")
-    bad = cut(forest.join(edges, ["a", "b"], "left_anti").select("bucket").distinct())
-    if bad.isEmpty():
-        return edges.where("false")
-    held = forest.join(bad, "bucket", "left_semi")
-    members = held.select("bucket", F.col("a").alias("node")).unionByName(held.select("bucket", F.col("b").alias("node"))).distinct()
-    half = lambda at: F.conv(F.hex(F.substring("sketch", at, 4)), 16, 10).cast("bigint")
-    signed = [F.shiftleft(half(at), 32).bitwiseOR(half(at + 4)) for at in (1, 9)]
-    told = nodes.select("node", *[w.alias(f"s{k}") for k, w in enumerate(signed)])
-    linked = roots(edges).select("node", F.col("root").alias("label"))
-    rows = members.join(told, "node").join(linked, "node", "left").select(F.col("bucket").alias("key"), "node", "s0", "s1", F.coalesce("label", "node").alias("label"))
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_cross, "a bigint, b bigint").distinct()
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.int64())], ["a", "b", "bucket"])
+
+
+def _whole(batches):
+    """Tables of one bucket's rows each, from batches sorted by bucket."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = batch.column("bucket").to_numpy()
+        if not len(key):
+            continue
+        edges = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist()
+        for begin, end in zip(edges, [*edges[1:], len(key)]):
+            if held and key[begin] != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = key[begin]
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _least(rows: np.ndarray, items: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each of the rows (key, node, s0, s1) of a bucket: the first one linked to it by near pairs at 0.8 or more.
+
+    ``items`` are the rows' sets, one after the other, none empty.
+    """
+    n = rows.shape[1]
+    label = np.arange(n)
+    items = np.unique(items, return_inverse=True)[1]
+    ends = np.cumsum(size)
+    held = np.zeros(len(items), bool)
+    apart = n
+    for k in range(n - 1):
+        if apart == 1:
+            break
+        rest = np.flatnonzero(label[k + 1 :] != label[k]) + k + 1
+        rest = rest[_near(rows[:, k : k + 1], rows[:, rest])]
+        rest = rest[5 * np.minimum(size[k], size[rest]) >= 4 * np.maximum(size[k], size[rest])]
+        if not rest.size:
+            continue
+        own = items[ends[k] - size[k] : ends[k]]
+        held[own] = True
+        true, part = [], max(1, ROOM // int(2 * size[k]))  # a set is at most 5 / 4 of another
+        for begin in range(0, len(rest), part):
+            some = rest[begin : begin + part]
+            n_each = size[some]
+            stop = np.cumsum(n_each)
+            at = np.arange(stop[-1]) + np.repeat(ends[some] - stop, n_each)
+            shared = np.add.reduceat(held[items[at]], stop - n_each, dtype=np.int64)
+            true.append(some[9 * shared >= 4 * (size[k] + n_each)])  # i / (size - i) >= 4 / 5
+        held[own] = False
+        linked = np.unique(label[np.concatenate([[k], *true])])
+        if len(linked) > 1:
+            label[np.isin(label, linked)] = linked[0]
+            apart -= len(linked) - 1
+    return label
+
+
+def _stars(batches):
+    """(a, b): the members b of each component of a bucket beside its least one."""
+    for own in _whole(batches):
+        own = own.take(pc.sort_indices(own, [("node", "ascending")]))
+        rows = np.stack([own.column(c).to_numpy() for c in ("bucket", "node", "s0", "s1")])
+        sets = own.column("items").combine_chunks()
+        label = _least(rows, sets.flatten().to_numpy(), pc.list_value_length(sets).to_numpy().astype(np.int64))
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(rows[1, label[moved]]), pa.array(rows[1, moved])], ["a", "b"])
+
+
+def within(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): stars that link what the near pairs at 0.8 or more of each bucket link, for ``members`` (bucket, node)."""
+    rows = members.join(sets, "node").select("bucket", "node", "s0", "s1", "items")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_stars, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -277,26 +319,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(df: DataFrame, wanted: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """(node, items) of the ``wanted`` (node, key, h), each from one of its texts."""
+    """(node, s0, s1, items) of the ``wanted`` (node, s0, s1, key, h), each from one of its texts."""
 
     def run(part: pa.RecordBatch) -> dict:
         sets = [shingle_set(t, shingle).view(np.int64) for t in part.column(text).to_pylist()]
-        return {"node": part.column("node"), "items": pa.array(sets, pa.list_(pa.int64()))}
+        return {c: part.column(c) for c in ("node", "s0", "s1")} | {"items": pa.array(sets, pa.list_(pa.int64()))}
 
     rows = df.select(key, F.xxhash64(text).alias("h"), text).join(wanted, [key, "h"]).dropDuplicates(["node"])
-    return map_slices(rows.select("node", text), run, "node bigint, items array<bigint>", text)
+    return map_slices(rows.select("node", "s0", "s1", text), run, "node bigint, s0 bigint, s1 bigint, items array<bigint>", text)
 
 
 def survivors(df: DataFrame, shingle: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, h): the row of least key, then least text hash, of each group. Keys are not null."""
     found = cut(prints(df, shingle, key, text))
     nodes = cut(found.groupBy("node").agg(F.min("sketch").alias("sketch"), F.min(F.struct(key, "h")).alias("least")))
-    pairs = cut(candidates(nodes))
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", "least.*")
+    found = cut(candidates(nodes))
+    pairs, members = found.where("b is not null").select("a", "b"), found.where("b is null").select("bucket", F.col("a").alias("node"))
+    ends = found.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    half = lambda at: F.conv(F.hex(F.substring("sketch", at, 4)), 16, 10).cast("bigint")
+    words = [F.shiftleft(half(at), 32).bitwiseOR(half(at + 4)).alias(f"s{k}") for k, at in enumerate((1, 9))]
+    wanted = nodes.join(ends, "node", "left_semi").select("node", *words, "least.*")
     sets = cut(_sets(df, wanted, shingle, key, text))
-    edges = cut(verified(pairs.select("a", "b").distinct(), sets))
-    more = verified(cut(remaining(pairs, edges, nodes)), sets)
-    linked = roots(edges.unionByName(more)).withColumnRenamed("node", "of")
+    edges = verified(pairs, sets).unionByName(within(members, sets))
+    linked = roots(edges).withColumnRenamed("node", "of")
     named = nodes.join(linked, nodes.node == linked.of, "left").select("least", F.coalesce("root", "node").alias("root"))
     return named.groupBy("root").agg(F.min("least").alias("least")).select("least.*")

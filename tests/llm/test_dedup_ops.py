@@ -164,6 +164,47 @@ def test_large_groups_of_near_copies(spark, edits):
     assert found.select("a", "b").distinct().count() < 0.5 * 3 * 150 * 149 / 2  # of the pairs within the groups
 
 
+def test_groups_near_but_not_near_enough_make_few_rows(spark, monkeypatch):
+    """Pairs of a large group that meet but mostly stay under 0.8 are verified, yet are no rows of any table."""
+    r = random.Random(41)
+    base = ["w%d" % r.randrange(10**6) for _ in range(150)]
+    texts = []
+    for k in range(300):
+        copy = base[:]
+        for at in r.sample(range(150), 1 if k % 10 == 0 else 4):
+            copy[at] = "x%d" % r.randrange(10**6)
+        texts.append(" ".join(copy))
+    sets = [{*neardup.shingle_set(t).tolist()} for t in texts]
+    pairs = [(i, j) for i in range(300) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = union(pairs, range(300))
+    assert 100 < len({*want.values()}) < 290 and len(pairs) < 0.05 * 300 * 299 / 2
+    counts, real = [], neardup.verified
+
+    def counted(pairs, sets):
+        counts.append(pairs.count())
+        return real(pairs, sets)
+
+    monkeypatch.setattr(neardup, "verified", counted)
+    assert kept_by_stage(spark, texts) == {*want.values()}
+    assert sum(counts) < 20 * len(texts)
+
+
+def test_components_of_one_bucket(monkeypatch):
+    """Every near pair of a bucket counts, in pieces of any size."""
+    rng = np.random.default_rng(7)
+    for trial in range(60):
+        monkeypatch.setattr(neardup, "ROOM", int(rng.choice([1, 200, 1 << 20])))
+        n = int(rng.integers(2, 40))
+        core = np.arange(int(rng.integers(3, 25)))
+        sets = [np.unique(np.append(rng.choice(core, max(1, len(core) - int(rng.integers(0, 4))), replace=False), rng.integers(100, 110))) for _ in range(n)]
+        rows = np.stack([np.full(n, 5), np.arange(n) * 3, rng.integers(0, 1 << 18, n) ** 2, np.zeros(n, np.int64)])
+        size = np.array([len(x) for x in sets])
+        near = lambda i, j: (int(rows[2, i]) ^ int(rows[2, j])).bit_count() <= neardup.RADIUS
+        true = [(i, j) for i in range(n) for j in range(i) if near(i, j) and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+        want = union(true, range(n))
+        assert neardup._least(rows, np.concatenate(sets), size).tolist() == [want[k] for k in range(n)]
+
+
 def test_near_fingerprints_alone_drop_nothing(spark):
     """Pairs below 0.8 stay, alone and at the end of a chain of true copies."""
     r = random.Random(29)
