@@ -19,6 +19,7 @@ is bounded by an image.
 from __future__ import annotations
 
 import functools
+import math
 import struct
 import zlib
 
@@ -82,6 +83,7 @@ class Code:
         if (1 << (self.longest - self.lengths)).sum() != 1 << self.longest:
             raise FormatError("a prefix code is not complete")
         self._tables: dict[int, list[int]] = {}
+        self._arrays: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def first(self) -> int:
@@ -96,6 +98,13 @@ class Code:
             self._tables[shift] = by_code[_reversal(self.longest)].tolist()
         return self._tables[shift]
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol, length of its code) by the next ``longest`` bits of the stream."""
+        if self._arrays is None:
+            entry = np.array(self.table(), np.uint32)
+            self._arrays = entry >> 4, (entry & 15).astype(np.uint8)
+        return self._arrays
+
     def read(self, bits: Bits) -> int:
         if not self.longest:
             return self.first
@@ -125,6 +134,10 @@ _SEEN: dict[int, list[tuple[int, int, Code]]] = {}
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
     begin, shift = bits.at >> 3, bits.at & 7
+    head = int.from_bytes(bits.data[begin : begin + 3], "little") >> shift
+    if head & 7 == 5 and bits.at + 11 <= 8 * len(bits.data):  # one symbol of eight bits
+        bits.at += 11
+        return _single(head >> 3 & 255)
     for known, n, code in _SEEN.get(alphabet, ()):
         if (int.from_bytes(bits.data[begin : begin + (n + shift + 7 >> 3)], "little") >> shift) & ((1 << n) - 1) == known:
             bits.at += n
@@ -208,11 +221,108 @@ def _image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     if groups == 1 and not deep and codes[0][0].first < 256:  # every pixel is the one that takes no bits
         green, red, blue, alpha = (c.first for c in codes[0][:4])
         return np.full((height, width), alpha << 24 | red << 16 | green << 8 | blue, np.uint32)
-    if groups == 1 and deep <= 48:
-        return _one_group(bits, codes[0], width, height, cache_bits)
+    if groups == 1 and deep <= 48 and width * height > FEW:
+        if cache_bits or not deep:
+            return _one_group(bits, codes[0], width, height, cache_bits)
+        return _stretches(bits, codes[0], width, height)
     return _pixels(bits, codes, width, height, meta, meta_bits, cache_bits)
 
 
+#: Images of so few pixels are read pixel by pixel.
+FEW = 32
+#: Bytes of the stream whose literals are measured at once.
+STRETCH = 1 << 15
+_SHIFTS = np.arange(8)
+_BEYOND = b"\xff" * 64
+
+
+def _stretches(bits: Bits, group: list[Code], width: int, height: int) -> np.ndarray:
+    """Pixels under one group of codes without a cache.
+
+    What a literal would take is told for every bit of a stretch of the stream at
+    once; walking the literals is then a sum of lengths, and their samples are
+    looked up together.
+    """
+    total = width * height
+    base = bits.at >> 3
+    data = bits.data[base:] + b"\0" * 16
+    end = 8 * (len(data) - 16)
+    inner = Bits(data)
+    green, red, blue, alpha = (c.arrays() for c in group[:4])
+    masks = [len(t[1]) - 1 for t in (green, red, blue, alpha)]
+    taken = green[1] | (green[0] > 255).astype(np.uint8) << np.uint8(7)  # 128 and more: no literal
+    others = [(c[1], m, len(c[1]) > 1) for c, m in zip((red, blue, alpha), masks[1:])]
+    literals: list[np.ndarray] = []
+    refs: list[tuple[int, int, int]] = []  # literals before, distance, length
+    p, done, said = bits.at & 7, 0, 0
+    while done < total:
+        if p > end:
+            raise FormatError("the stream ends early")
+        begin = p >> 3
+        n_bytes = min(STRETCH, len(data) - 7 - begin)
+        words = np.ndarray((n_bytes,), "<i8", data, begin, (1,))
+        windows = (words[:, None] >> _SHIFTS).ravel()
+        left = windows
+        size = taken.take(left & masks[0])
+        lengths = size.copy()
+        for sizes, mask, many in others:
+            if many:
+                left = left >> size
+                size = sizes.take(left & mask)
+                lengths += size
+        steps = lengths.tobytes() + _BEYOND
+        places: list[int] = []
+        put = places.append
+        p -= 8 * begin
+        while done < total:
+            before = len(places)
+            for _ in range(total - done):
+                n = steps[p]
+                if n > 127:
+                    break
+                put(p)
+                p += n
+            done += len(places) - before
+            if done == total or n == 255 or p + 8 * begin > end:
+                break
+            inner.at = p + 8 * begin
+            run = _prefix_value(inner, group[0].read(inner) - 256)
+            far = _prefix_value(inner, group[4].read(inner))
+            p = inner.at - 8 * begin
+            far = far - len(NEAR) if far > len(NEAR) else max(1, NEAR[far - 1][0] + NEAR[far - 1][1] * width)
+            if far > done or done + run > total:
+                raise FormatError("a reference leaves the image")
+            refs.append((said + len(places), far, run))
+            done += run
+            if p >= 8 * n_bytes:
+                break
+        said += len(places)
+        p += 8 * begin
+        left = windows[places]
+        pixel = np.zeros(len(places), np.uint32)
+        for (symbols, sizes), mask, shift in zip((green, red, blue, alpha), masks, (8, 16, 0, 24)):
+            at = left & mask
+            pixel |= symbols[at] << np.uint32(shift)
+            left = left >> sizes[at]
+        literals.append(pixel)
+    bits.at = 8 * base + p
+    if bits.at > 8 * len(bits.data):
+        raise FormatError("the stream ends early")
+    flat = np.concatenate(literals)
+    if refs:
+        out = np.empty(total, np.uint32)
+        at = used = 0
+        for before, far, run in refs:
+            out[at : at + before - used] = flat[used:before]
+            at += before - used
+            used = before
+            out[at : at + run] = out[at - far : at - far + run] if far >= run else np.resize(out[at - far : at], run)
+            at += run
+        out[at:] = flat[used:]
+        flat = out
+    return flat.reshape(height, width)
+
+
 def _one_group(bits: Bits, group: list[Code], width: int, height: int, cache_bits: int) -> np.ndarray:
     """Pixels under one group of codes: a literal takes one look at the stream."""
     total = width * height
@@ -666,6 +776,18 @@ def _put_own_code(out: Out, counts: np.ndarray, alphabet: int) -> tuple[np.ndarr
 
 def _split(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(prefix symbol, extra bits, their number) of lengths or distances."""
+    if values.max() < 1 << 14:
+        symbol, extra, more = _short_splits()
+        return symbol[values], extra[values], more[values]
+    return _split_any(values)
+
+
+@functools.lru_cache(maxsize=1)
+def _short_splits() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _split_any(np.arange(1 << 14))
+
+
+def _split_any(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     x = np.maximum(values.astype(np.int64) - 1, 0)
     high = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
     more = np.maximum(high - 1, 0)
@@ -718,7 +840,8 @@ def _matches(flat: np.ndarray) -> tuple[list[int], list[int], list[int]]:
 def _entropy(counts: np.ndarray) -> float:
     """Bits that an ideal code spends on symbols that occur so often."""
     held = counts[counts > 0].astype(np.float64)
-    return float(held.sum() * np.log2(held.sum()) - (held * np.log2(held)).sum()) if held.size else 0.0
+    total = float(np.add.reduce(held))
+    return total * math.log2(total) - float(np.add.reduce(held * np.log2(held))) if total else 0.0
 
 
 def _cached(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -823,7 +946,10 @@ def _put_predictor(out: Out, rgb: np.ndarray) -> np.ndarray:
         rests = [here, here - rgb[1:, :-1], here - rgb[:-1, 1:]]
         costs = [_spread(rest, where, 3 * tiles).reshape(tiles, 3).sum(1) for rest in rests]
         chosen = np.argmin(costs, axis=0)
-        for k in {*chosen.tolist()} - {0}:
+        modes = {*chosen.tolist()}
+        if len(modes) == 1:
+            left[1:, 1:] = rests[modes.pop()]
+        for k in modes - {0}:
             inside = (chosen == k)[tile[1:, 1:]]
             left[1:, 1:][inside] = rests[k][inside]
         left[1:, 0] = rgb[1:, 0] - rgb[:-1, 0]
@@ -843,7 +969,11 @@ def _put_colour(out: Out, rgb: np.ndarray) -> np.ndarray:
     height, width, _ = rgb.shape
     red, green, blue = (np.ascontiguousarray(rgb[..., c]).view(np.int8) for c in range(3))
     floats = {id(x): x.ravel().astype(np.float32) for x in (red, green, blue)}
-    cells = np.zeros(1, np.int64)
+
+    def crowding(samples: np.ndarray) -> int:
+        """Squares of the counts, added up: the more, the fewer bits samples spend."""
+        counts = np.bincount(samples.view(np.uint8).ravel(), minlength=256)
+        return int(counts @ counts)
 
     def choose(of: np.ndarray, by: np.ndarray) -> tuple[int, np.ndarray]:
         """Multiplier, and ``of`` (8 bits, signed) less its share of ``by``."""
@@ -853,8 +983,10 @@ def _put_colour(out: Out, rgb: np.ndarray) -> np.ndarray:
         if 8 * shared * shared < varies * own or not shared:
             return 0, of
         k = int(np.clip(np.rint(32 * shared / varies), -128, 127))
-        less = (of - (k * by.astype(np.int32) >> 5)).astype(np.int8)
-        if k and _spread(less.view(np.uint8).ravel(), cells, 1)[0] < _spread(of.view(np.uint8).ravel(), cells, 1)[0]:
+        if not k:
+            return 0, of
+        less = (of - (np.int16(k) * by.astype(np.int16) >> 5)).astype(np.int8)
+        if crowding(less) > crowding(of):
             return k, less
         return 0, of
 

@@ -660,3 +660,35 @@ def test_rows_without_an_id_of_their_own(spark, tmp_path):
 
 def test_registry():
     assert sorted(queries.QUERIES) == sorted(f"op{n}_{x}" for n, x in enumerate("pii simhash langid substrings line_dedup mixing ann bpe sharding webp".split(), 1))
+
+
+def test_webp_literals_of_a_stretch_together(monkeypatch):
+    """Literals measured by stretches are those read one by one, at any stretch, and take less time."""
+    import time
+
+    r = random.Random(19)
+    vocabulary = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 9))) for _ in range(3_000)]
+    for n in (120, 900, 30_000):
+        text = " ".join(r.choice(vocabulary) for _ in range(n)) + "again and again " * 20
+        payload = webp.payload_of(text)[0]
+        stored = webp.store(payload)
+        for stretch in (1, 7, 100, 1 << 15):
+            monkeypatch.setattr(webp, "STRETCH", stretch)
+            assert webp.fetch(stored)[0] == payload
+        for cut in (3, 40, len(stored) // 3):
+            image = webp.chunks(stored)[0][b"VP8L"]
+            with pytest.raises(webp.FormatError):
+                webp.decode_vp8l(image[: len(image) - cut])
+
+    def least_time():
+        spent = []
+        for _ in range(5):
+            begin = time.process_time()
+            pixels = webp.decode_vp8l(image)
+            spent.append(time.process_time() - begin)
+        return min(spent), pixels
+
+    together, pixels = least_time()
+    monkeypatch.setattr(webp, "_stretches", lambda bits, group, width, height: webp._one_group(bits, group, width, height, 0))
+    singly, same = least_time()
+    assert (pixels == same).all() and together < 0.8 * singly, (together, singly)
